@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import site_lines
+from lodestream.llm import encoding, lookalikes, site_lines, splitting
 from lodestream.llm.common import record_rows, table
 
 
@@ -25,6 +25,30 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.strip_lines(_envelopes(spark, d)).select("harvest_id", "clean_content").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found(_records(spark, d))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_records(_records(spark, d)).select("rec_kind", "rec_id", "piece_no", "n_pieces", "start_pos", "end_pos", "piece")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.found(_records(spark, d))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.unify_records(_records(spark, d)).select("rec_kind", "rec_id", "unified")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_documents(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.decode_documents(encoding.encode_documents(table(spark, d, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -43,6 +67,9 @@ h AS (SELECT s, k FROM n JOIN t USING (s) WHERE k <> '' GROUP BY s, k, total
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p2_found": """SELECT 'item' AS rec_kind, harvest_id AS rec_id FROM raw_envelopes WHERE length(item.content) > 2000
+        UNION SELECT 'chunk', doc_id FROM chunks WHERE length(text) > 2000""",
         "p1_found": _P1 + "SELECT DISTINCT harvest_id, line_no FROM n JOIN h USING (s, k)",
         "p1_clean": _P1
         + """, r AS (SELECT DISTINCT n.harvest_id, n.line_no FROM n JOIN h USING (s, k)),
