@@ -48,19 +48,18 @@ def window_hashes(points: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     p = points.astype(np.uint64)
     # doubling: windows of 1, 2, 4, ... joined as the bits of k ask
-    h, have, whole, done, mul = p + np.uint64(1), 1, None, 0, _MUL
-    left = k
-    power = _MUL
+    h, have, whole, done = p + np.uint64(1), 1, None, 0
+    left, power = k, int(_MUL)
     while left:
         if left & 1:
             part = h[done : done + n]
-            whole = part.copy() if whole is None else whole * power + part
+            whole = part.copy() if whole is None else whole * np.uint64(power) + part
             done += have
         left >>= 1
         if left:
-            h = h[:-have] * power + h[have:]
+            h = h[:-have] * np.uint64(power) + h[have:]
             have *= 2
-            power = power * power + np.uint64(2)
+            power = (power * power + 2) & 0xFFFFFFFFFFFFFFFF
     whole ^= whole >> _S29
     whole *= _MIX
     whole ^= whole >> _S32

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import encoding, lookalikes, site_lines, splitting
+from lodestream.llm import encoding, leakage, lookalikes, site_lines, splitting
 from lodestream.llm.common import record_rows, table
 
 
@@ -49,6 +49,14 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return encoding.decode_documents(encoding.encode_documents(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
