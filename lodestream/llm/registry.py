@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import encoding, leakage, lookalikes, neardup, site_lines, splitting
+from lodestream.llm import encoding, history, leakage, lookalikes, neardup, site_lines, splitting
 from lodestream.llm.common import record_rows, table
 
 
@@ -65,6 +65,10 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_envelopes(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.found(_envelopes(spark, d))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
