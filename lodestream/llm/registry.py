@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import encoding, history, leakage, lookalikes, neardup, site_lines, splitting
+from lodestream.llm import encoding, history, leakage, lookalikes, neardup, sentences, site_lines, splitting
 from lodestream.llm.common import record_rows, table
 
 
@@ -69,6 +69,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.found(_envelopes(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(table(spark, d, "documents"))
+
+
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
