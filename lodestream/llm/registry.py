@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import encoding, history, leakage, lookalikes, neardup, sentences, site_lines, splitting
+from lodestream.llm import encoding, history, languages, leakage, lookalikes, neardup, pii, sentences, site_lines, splitting
 from lodestream.llm.common import record_rows, table
 
 
@@ -41,6 +41,22 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify_records(_records(spark, d)).select("rec_kind", "rec_id", "unified")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.found(_envelopes(spark, d))
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.documents(_envelopes(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(_records(spark, d))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(_records(spark, d)).select("rec_kind", "rec_id", "redacted")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
