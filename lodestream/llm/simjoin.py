@@ -10,7 +10,7 @@ Which pairs can be left out, exactly: of two sets of sizes ``nx <= ny`` with sim
 ``o = ceil(t / (1 + t) * (nx + ny))`` windows are shared, so their prefixes of ``n - ceil(t * n) + 1 +
 ext(n)`` windows share at least ``L = min(o - n + prefix(n))`` over both, and one of ``F`` fragments at
 least ``ceil(L / F)``. Inside a fragment this bounds sizes (by the place of a window in its segment),
-then the XOR of 64-bit signatures bounds the overlap, then segments are intersected. What is left after
+then the XOR of parity signatures bounds the overlap, then segments are intersected. What is left after
 summing is verified on the whole sets.
 
 Rows of the shuffle are blocks of many records' segments, so the shuffle holds about 5 bytes a prefix
@@ -35,11 +35,14 @@ from lodestream.session import cut, small_side
 GRAM = 9
 THRESHOLD = 0.7
 MIN_CHARS = 150
-EXTRA = 0.05
+EXTRA = 0.1
 SKETCH_BITS = 22
 _SLICES = 64
 _BATCH = 1500
-_CHUNK = 1_000_000
+_BLOCK = 100_000
+_CHUNK = 300_000
+_WORDS = 8
+_FRAGMENT_RECORDS = 60_000
 
 
 @cache
@@ -54,15 +57,32 @@ def squashed(text: str) -> np.ndarray:
     return points[_letters()[points]]
 
 
-def records_of(titles, contents, min_chars: int) -> Iterator[np.ndarray | None]:
-    """The squashed title and content of each record, or None where the content is too short."""
-    for title, content in zip(titles, contents):
-        body = squashed(content or "")
-        yield np.concatenate([squashed(title or ""), body]) if len(body) >= min_chars else None
+def squashed_batch(titles, contents, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The squashed title and content of a batch in one array, each record's end, and who takes part.
+
+    All texts are looked up at once; a record whose content is too short keeps nothing.
+    """
+    texts = [t for pair in zip(titles, contents) for t in ((pair[0] or "").lower(), (pair[1] or "").lower())]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    held = _letters()[points]
+    counts = np.diff(np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(lengths)])])
+    takes = counts[1::2] >= min_chars
+    whole = counts[::2] + counts[1::2]
+    points = points[held]
+    if not takes.all():
+        points = points[np.repeat(takes, whole)]
+    return points, np.cumsum(np.where(takes, whole, 0)), takes
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting beats hashing here."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def set_of(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    return np.unique(window_hashes(points, gram))
+    return _distinct(window_hashes(points, gram))
 
 
 def key_of(points: np.ndarray) -> tuple[int, int]:
@@ -70,20 +90,25 @@ def key_of(points: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(points.tobytes(), digest_size=16).digest(), np.int64))
 
 
-def _texts(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _texts(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of each part of a batch: the records that take part, their characters in one array, and their edges in it."""
     for pdf in batches:
         for at in range(0, len(pdf), _BATCH):
             part = pdf.iloc[at : at + _BATCH]
-            points = list(records_of(part["title"], part["content"], min_chars))
-            yield part[[p is not None for p in points]], [p for p in points if p is not None]
+            points, ends, takes = squashed_batch(part["title"], part["content"], min_chars)
+            yield part[takes], points, np.concatenate([[0], ends[takes]])
+
+
+def _keys(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.array([key_of(points[a:b]) for a, b in zip(edges[:-1], edges[1:])], np.int64).reshape(-1, 2)
 
 
 def members(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``harvest_id, batch_no, k1, k2`` of the records that take part."""
 
     def rows(batches):
-        for part, points in _texts(batches, min_chars):
-            keys = np.array([key_of(p) for p in points], np.int64).reshape(-1, 2)
+        for part, points, edges in _texts(batches, min_chars):
+            keys = _keys(points, edges)
             yield pd.DataFrame({"harvest_id": part["harvest_id"], "batch_no": part["batch_no"], "k1": keys[:, 0], "k2": keys[:, 1]})
 
     return records.mapInPandas(rows, "harvest_id string, batch_no int, k1 long, k2 long")
@@ -95,10 +120,9 @@ def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bit
 
     def rows(batches):
         counts = np.zeros(width, np.int64)
-        for _, points in _texts(batches, min_chars):
-            if points:
-                hashes = np.concatenate([window_hashes(p, gram) for p in points])
-                counts += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=width)
+        for _, points, _ in _texts(batches, min_chars):
+            # the few windows over the edge of two records do not matter for rarity
+            np.add.at(counts, (window_hashes(points, gram) >> np.uint64(64 - bits)).astype(np.int64), 1)
         if counts.any():
             slot = int(counts[:: width // 64].sum()) % 16
             for s, own in enumerate(np.split(counts, _SLICES)):
@@ -145,32 +169,33 @@ def segments(records: DataFrame, levels, fragments: int, gram: int = GRAM, thres
     def rows(batches):
         level = levels.value
         shift = np.uint64(64 - int(len(level)).bit_length() + 1)
-        for part, points in _texts(batches, min_chars):
-            if not points:
+        for part, points, edges in _texts(batches, min_chars):
+            if not len(part):
                 continue
-            prefixes, sizes = [], []
-            for p in points:
-                h = set_of(p, gram)
-                size = int(prefix_size(len(h), threshold)[0])
-                rank = level[(h >> shift).astype(np.int64)]
-                # h is sorted, so a stable sort by level gives the global order
-                prefixes.append(h[np.argsort(rank, kind="stable")[:size]])
-                sizes.append(len(h))
-            counts = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
-            tokens = np.concatenate(prefixes)
-            owner = np.repeat(np.arange(len(prefixes)), counts)
+            hashes = window_hashes(points, gram)
+            sets = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                h = np.sort(hashes[a : b - gram + 1])
+                sets.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            counts = prefix_size(sizes, threshold)[0]
+            ranks = level[(np.concatenate(sets) >> shift).astype(np.int64)]
+            ends = np.cumsum(sizes)
+            # a set is sorted, so a stable sort by level gives the global order
+            tokens = np.concatenate([h[np.argsort(ranks[e - len(h) : e], kind="stable")[:n]] for h, e, n in zip(sets, ends, counts)])
+            owner = np.repeat(np.arange(len(sets)), counts)
             fragment = (tokens % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(fragment, kind="stable")
             tokens, owner = (tokens[order] // np.uint64(fragments)).astype(np.uint32), owner[order]
-            edges = np.searchsorted(fragment[order], np.arange(fragments + 1))
-            keys = np.array([key_of(p) for p in points], np.int64)
-            lands, sizes = part["batch_no"].to_numpy(np.int32), np.array(sizes, np.int32)
+            keys, lands, sizes = _keys(points, edges), part["batch_no"].to_numpy(np.int32), sizes.astype(np.int32)
+            cuts = np.searchsorted(fragment[order], np.arange(fragments + 1))
             out = []
             for f in range(fragments):
-                own = owner[edges[f] : edges[f + 1]]
-                held, n = np.unique(own, return_counts=True)
+                own = tokens[cuts[f] : cuts[f + 1]]
+                n = np.bincount(owner[cuts[f] : cuts[f + 1]], minlength=len(sizes))
+                held = np.flatnonzero(n)
                 if len(held):
-                    out.append((f, lands[held].tobytes(), keys[held].tobytes(), sizes[held].tobytes(), n.astype(np.uint16 if n.max() < 65536 else np.uint32).astype(np.uint32).tobytes(), tokens[edges[f] : edges[f + 1]].tobytes()))
+                    out.append((f, lands[held].tobytes(), keys[held].tobytes(), sizes[held].tobytes(), n[held].astype(np.uint32).tobytes(), own.tobytes()))
             yield pd.DataFrame(out, columns=["fragment", "batches", "keys", "sizes", "counts", "tokens"])
 
     return records.mapInPandas(rows, SEGMENTS)
@@ -184,11 +209,12 @@ def _join(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def _signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """Per record the parity of its segment's tokens in 64 bits."""
-    bit = np.uint64(1) << ((tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+def _signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> list[np.ndarray]:
+    """Per record the parity of its segment's tokens in ``_WORDS`` words of 64 bits."""
+    mixed = (tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    bit, word = np.uint64(1) << (mixed & np.uint64(63)), (mixed >> np.uint64(6)) % np.uint64(_WORDS)
     edges = np.searchsorted(owner, np.arange(docs))
-    return np.bitwise_xor.reduceat(bit, edges) if docs else np.zeros(0, np.uint64)
+    return [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), edges) if docs else bit for w in range(_WORDS)]
 
 
 def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHOLD, extra: float = EXTRA, by_batch: bool = False) -> pd.DataFrame:
@@ -217,68 +243,77 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
     held = held[np.argsort(sizes[held], kind="stable")]
     starts = np.cumsum(counts) - counts
     counts, keys, sizes, batches, fresh = counts[held], keys[held], sizes[held].astype(np.int64), batches[held], fresh[held]
-    owner = np.repeat(np.arange(len(held)), counts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    tokens = tokens[np.repeat(starts[held], counts) + place].astype(np.int64)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), counts)
+    place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    tokens = tokens[np.repeat(starts[held], counts) + place]
     sig = _signatures(tokens, owner, len(held))
-    by_owner = np.sort(owner << 32 | tokens)
+    ratio = threshold / (1 + threshold)
+    # the least overlap of the prefixes without its rounding up
+    slope = prefix_size(sizes, threshold, extra)[0] - sizes
 
     def least(x, y):
-        return -(-np.maximum(1, least_shared(sizes[x], sizes[y], threshold, extra)) // fragments)
+        need = ratio * (sizes[x] + sizes[y]) + np.minimum(slope[x], slope[y])
+        return np.maximum(1, np.ceil((need - 1e-6) / fragments)).astype(np.int32)
 
     out = []
-    for xs, ys in ((np.ones(len(held), bool), fresh), (fresh, ~fresh)):
-        if not xs.any() or not ys.any():
+    for xs, ys in ((None, None if fresh.all() else fresh), (fresh, ~fresh)):
+        if ys is not None and not ys.any() or xs is not None and (xs.all() or not xs.any()):
             continue
-        px = np.flatnonzero(xs[owner])
-        px = px[np.argsort(tokens[px] << 32 | owner[px], kind="stable")]
-        posting = tokens[px] << 32 | owner[px]
-        py = np.flatnonzero(ys[owner])
-        # the record y at this place still has that many windows in the fragment; this bounds the size of x
-        ny, rest = sizes[owner[py]], (counts[owner[py]] - place[py]) * fragments
-        ratio = threshold / (1 + threshold)
-        prefix, _ = prefix_size(ny, threshold, extra)
-        # y's own side of L is the smaller one where nx <= ny, but for rounding: hence the 2
-        top = np.minimum(ny, np.floor((rest - prefix + ny + 2) / ratio - ny))
-        low = np.searchsorted(sizes, np.ceil(threshold * ny - 1e-9), "left")
-        high = np.minimum(owner[py], np.searchsorted(sizes, top, "right"))
-        token = tokens[py] << 32
-        lo = np.searchsorted(posting, token | low, "left")
-        hi = np.searchsorted(posting, token | np.maximum(high, 0), "left")
-        n = np.maximum(hi - lo, 0)
-        edges = np.concatenate([[0], np.cumsum(n)])
-        at = 0
-        while at < len(n):
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + _CHUNK, "right")) - 1)
-            c = n[at:to]
-            total = int(edges[to] - edges[at])
-            if total:
-                probe = np.repeat(np.arange(at, to), c)
-                k = np.arange(total) - np.repeat(edges[at:to] - edges[at], c) + np.repeat(lo[at:to], c)
-                x, y = owner[px[k]], owner[py[probe]]
-                differ = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64)
-                need = least(x, y)
-                ok = counts[x] + counts[y] - differ >= 2 * need
-                ok &= np.minimum(counts[x] - place[px[k]], counts[y] - place[py[probe]]) >= need
-                if by_batch:
-                    ok &= batches[x] != batches[y]
-                if ok.any():
-                    out.append(np.unique(x[ok] << 32 | y[ok]))
-            at = to
+        px = np.arange(len(owner), dtype=np.int32) if xs is None else np.flatnonzero(xs[owner]).astype(np.int32)
+        posting = tokens[px].astype(np.int64) << 32 | owner[px]
+        order = np.argsort(posting)
+        px, posting = px[order], posting[order]
+        held_by, size_of, left_of = owner[px], sizes[owner[px]].astype(np.float32), (counts[owner] - place)[px].astype(np.int32)
+        py = px if ys is None else np.flatnonzero(ys[owner]).astype(np.int32)
+        py = py if ys is None else py[np.argsort(tokens[py], kind="stable")]
+        own_token = tokens[px]
+        for at in range(0, len(py), _BLOCK):
+            own = py[at : at + _BLOCK]
+            lo, hi = np.searchsorted(own_token, tokens[own], "left"), np.searchsorted(own_token, tokens[own], "right")
+            several = hi - lo > 1 if ys is None else hi > lo
+            own, lo, hi = own[several], lo[several], hi[several]
+            y = owner[own]
+            ny, left = sizes[y].astype(np.float64), (counts[y] - place[own]).astype(np.int32)
+            base = slope[y] - 2
+            # a window at this place leaves only so many behind it, which bounds the size of x:
+            # y's own side of the least overlap is the smaller one where nx <= ny, but for rounding
+            top = np.minimum(ny, np.floor((left * fragments - base) / ratio - ny))
+            least_size = np.ceil(threshold * ny - 1e-9)
+            long = np.flatnonzero(hi - lo > 16)  # the sizes of a short list are compared one by one below
+            token = tokens[own[long]].astype(np.int64) << 32
+            high = np.minimum(y[long], np.searchsorted(sizes, top[long].astype(sizes.dtype), "right"))
+            lo[long] = np.searchsorted(posting, token | np.searchsorted(sizes, least_size[long].astype(sizes.dtype), "left"), "left")
+            hi[long] = np.searchsorted(posting, token | high, "left")
+            n = np.maximum(hi - lo, 0)
+            edges = np.concatenate([[0], np.cumsum(n)])
+            b = 0
+            while b < len(n):
+                e = max(b + 1, int(np.searchsorted(edges, edges[b] + _CHUNK, "right")) - 1)
+                total = int(edges[e] - edges[b])
+                if total:
+                    c = n[b:e]
+                    k = np.arange(total) + np.repeat(lo[b:e] - edges[b:e] + edges[b], c)
+                    nx, back = size_of[k], left_of[k]
+                    of = np.repeat(np.arange(b, e, dtype=np.int32), c)
+                    need = (ratio * (nx + ny[of]) + base[of]) / fragments
+                    ok = (back >= need) & (left[of] >= need) & (nx >= least_size[of])
+                    x, yy = held_by[k[ok]], y[of[ok]]
+                    ok = (x < yy) & (batches[x] != batches[yy]) if by_batch else x < yy
+                    x, yy = x[ok], yy[ok]
+                    # parity signatures bound the overlap from above
+                    room = counts[x] + counts[yy] - 2 * least(x, yy)
+                    for w in sig:
+                        room -= np.bitwise_count(w[x] ^ w[yy])
+                        ok = room >= 0
+                        x, yy, room = x[ok], yy[ok], room[ok]
+                    if len(x):
+                        out.append(_distinct(x.astype(np.int64) << 32 | yy))
+                b = e
     if not out:
         return pd.DataFrame(columns=[c.split()[0] for c in PARTIAL.split(", ")])
-    pairs = np.unique(np.concatenate(out))
+    pairs = _distinct(np.concatenate(out))
     x, y = pairs >> 32, pairs & 0xFFFFFFFF
-    begin = np.cumsum(counts) - counts
-    shared = np.zeros(len(pairs), np.int64)
-    for at in range(0, len(pairs), 100_000):
-        own_x, own_y = x[at : at + 100_000], y[at : at + 100_000]
-        c = counts[own_x]
-        row = np.repeat(np.arange(len(own_x)), c)
-        t = tokens[np.repeat(begin[own_x], c) + np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)]
-        want = own_y[row] << 32 | t
-        hit = by_owner[np.minimum(np.searchsorted(by_owner, want), len(by_owner) - 1)] == want
-        shared[at : at + 100_000] = np.bincount(row[hit], minlength=len(own_x))
+    shared = _overlaps(x, y, tokens, counts)
     ok = (shared >= least(x, y)) & (keys[x] != keys[y]).any(axis=1)
     x, y, shared = x[ok], y[ok], shared[ok]
     return pd.DataFrame({
@@ -287,6 +322,29 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
     })
 
 
+def _overlaps(x: np.ndarray, y: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shared tokens of the segments of each pair; pairs are in order of ``x``, whose tokens are marked once for all its partners."""
+    order = np.argsort(tokens, kind="stable")
+    fresh = np.concatenate([[False], tokens[order][1:] != tokens[order][:-1]])
+    ids = np.empty(len(tokens), np.int32)
+    ids[order] = np.cumsum(fresh)
+    begin = np.cumsum(counts) - counts
+    marked = np.zeros(int(ids.max()) + 1, bool)
+    shared = np.zeros(len(x), np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = ids[begin[x[a]] : begin[x[a]] + counts[x[a]]]
+        marked[own] = True
+        for at in range(a, b, 20_000):  # a record with many partners is done in parts
+            others = y[at : min(b, at + 20_000)]
+            c = counts[others]
+            stops = np.cumsum(c)
+            k = np.arange(stops[-1]) + np.repeat(begin[others] - stops + c, c)
+            shared[at : at + len(others)] = np.add.reduceat(marked[ids[k]], stops - c, dtype=np.int32)
+        marked[own] = False
+    return shared
+
+
 PAIR = ["ax", "bx", "ay", "by"]
 
 
@@ -334,5 +392,8 @@ def verified(pairs: DataFrame, members_: DataFrame, records: DataFrame, gram: in
 
 
 def fragment_count(records: DataFrame) -> int:
-    """Fragments follow the shuffle's partitions, so a fragment stays in a task's memory as data grow."""
-    return max(16, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many fragments as keep the segments of one in a task's memory, at least 6.
+
+    Fewer fragments give longer segments, so sharper bounds; more give more and smaller tasks.
+    """
+    return max(6, -(-records.count() // _FRAGMENT_RECORDS))
