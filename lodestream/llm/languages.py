@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "vi", "ru", "zh", "ja", "hi")
-SAMPLE = 400
-TRAIN_CHARS = 15_000
+SAMPLE = 800
+TRAIN_CHARS = 24_000
+SURE = 0.15
 LEAST_LETTERS = 20
 WORST_RATE = 0.5
 _SCRIPTS = {"latin": ("en", "de", "fr", "es", "vi"), "cyrillic": ("ru",), "devanagari": ("hi",), "cjk": ("zh", "ja")}
-_ALPHABET = {"latin": 160, "cyrillic": 64, "devanagari": 96, "cjk": 512}
+_ALPHABET = {"latin": 128, "cyrillic": 64, "devanagari": 96, "cjk": 512}
 _DROP = re.compile(r"https?://\S+|\bwww\.\S+|\S+@\S+|[@#]\w+|\b(?=\w*\d)\w{16,}\b|[A-Za-z0-9+/=_-]{40,}")
 _SPLIT = re.compile(r"(?<=[^\W\d_]{3}[.!?…])[\"”’»“)]*\s+|(?<=[。！？।])[」』”’]*|\n|(?<=\s[!?])\s+")
 
@@ -106,12 +107,12 @@ class Judge:
                 at += len(table)
             self.groups.append((languages, code, np.concatenate(tables), np.array(roots, np.int32)))
 
-    def judge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment its number of letters, its language (as an index, -1 for none) and the confidence."""
+    def judge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each segment its letters, its language (as an index, -1 for none), the confidence and the rate of phrases."""
         n = len(segments)
-        letters, best, sure = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n)
+        letters, best, sure, rates = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n), np.ones(n)
         if not n:
-            return letters, best, sure
+            return letters, best, sure, rates
         lower = [s.lower() for s in segments]
         lengths = np.fromiter(map(len, lower), np.int64, n)
         points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -134,8 +135,8 @@ class Judge:
             second = np.take_along_axis(rate, order[1:2], 0)[0] if len(languages) > 1 else np.ones(len(own))
             ok = first <= WORST_RATE
             best[own[ok]] = np.array([LANGUAGES.index(x) for x in languages])[order[0]][ok]
-            sure[own] = 1 - first / np.maximum(second, 1e-9)
-        return letters, best, sure
+            sure[own], rates[own] = 1 - first / np.maximum(second, 1e-9), first
+        return letters, best, sure, rates
 
     @staticmethod
     def _phrases(code, table, roots, points, start, size) -> np.ndarray:
@@ -197,14 +198,31 @@ def fit(envelopes: DataFrame, sample: int = SAMPLE, chars: int = TRAIN_CHARS) ->
     said: dict[str, list[str]] = defaultdict(list)
     for r in picked.collect():
         said[r["locale"]] += [p for _, p in pieces(r["text"]) if sum(map(str.isalpha, p)) >= LEAST_LETTERS]
-    first = Judge({lang: _take(lines, chars) for lang, lines in said.items()})
+    first = Judge({lang: _take(lines, chars // 2) for lang, lines in said.items()})
     kept = {}
     for lang, lines in said.items():
-        _, best, _ = first.judge(lines)
-        kept[lang] = _take([x for x, b in zip(lines, best) if b >= 0 and LANGUAGES[b] == lang], chars)
+        lines = list(dict.fromkeys(lines))
+        _, best, sure, rate = first.judge(lines)
+        agree = np.array([b >= 0 and LANGUAGES[b] == lang for b in best])
+        # what the first automata explain worst, but do not clearly call another language, adds most
+        hard = [lines[i] for i in np.argsort(-rate, kind="stable") if (agree[i] or 0 <= best[i] and sure[i] < SURE)]
+        known = [x for x, ok in zip(lines, agree) if ok]
+        kept[lang] = _take(known, chars // 2) + "\n" + _varied(hard, chars // 2)
     return kept
 
 
+def _varied(lines: list[str], chars: int) -> str:
+    """The first lines that begin differently, up to the bound."""
+    seen, out, size = set(), [], 0
+    for line in lines:
+        begin = re.sub(r"\W|\d", "", line)[-8:]
+        if begin not in seen and size + len(line) <= chars:
+            seen.add(begin)
+            out.append(line)
+            size += len(line)
+    return "\n".join(out)
+
+
 def _take(lines: list[str], chars: int) -> str:
     """Different lines, every n-th so that the bound reaches over all of them."""
     lines = list(dict.fromkeys(lines))
@@ -212,6 +230,21 @@ def _take(lines: list[str], chars: int) -> str:
     return "\n".join(lines[:: max(1, total // chars)])[:chars]
 
 
+def settle(owner: np.ndarray, letters: np.ndarray, best: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Segments that no language wins clearly take the language of most clear letters of their document, if of the same script."""
+    groups = [tuple(LANGUAGES.index(x) for x in g) for g in _SCRIPTS.values()]
+    clear = (best >= 0) & (sure >= SURE)
+    weight = np.zeros((int(owner.max()) + 1 if len(owner) else 0, len(LANGUAGES)))
+    np.add.at(weight, (owner[clear], best[clear]), letters[clear])
+    out = best.copy()
+    for i in np.flatnonzero((best >= 0) & ~clear):
+        own = next(g for g in groups if best[i] in g)
+        most = max(own, key=lambda k: weight[owner[i], k])
+        if weight[owner[i], most] > 0:
+            out[i] = most
+    return out
+
+
 def segments(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """``harvest_id, locale, start_pos, letters, lang, confidence`` of every segment long enough to tell."""
     texts = texts or fit(envelopes)
@@ -225,7 +258,8 @@ def segments(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataF
                 parts = [pieces(t) if t else [] for t in part["text"]]
                 counts = [len(p) for p in parts]
                 flat = [x for p in parts for x in p]
-                letters, best, sure = judge.judge([s for _, s in flat])
+                letters, best, sure, _ = judge.judge([s for _, s in flat])
+                best = settle(np.repeat(np.arange(len(parts)), counts), letters, best, sure)
                 out = pd.DataFrame({
                     "harvest_id": np.repeat(part["harvest_id"].to_numpy(), counts),
                     "locale": np.repeat(part["locale"].to_numpy(), counts),
