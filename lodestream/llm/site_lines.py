@@ -35,18 +35,14 @@ def line_key(line):
 
 
 def _lines(envelopes: DataFrame) -> DataFrame:
-    """``sid, hid, harvest_id, line_no, key`` of each non-blank line."""
-    return (
-        envelopes.select(
-            F.xxhash64(F.coalesce(F.col("source_name"), F.lit("\0"))).alias("sid"),
-            F.xxhash64("harvest_id").alias("hid"),
-            "harvest_id",
-            F.posexplode(F.split("item.content", "\n")).alias("line_no", "line"),
-        )
-        .withColumn("norm", line_key(F.col("line")))
-        .filter(F.col("norm") != "")
-        .select("sid", "hid", "harvest_id", "line_no", F.xxhash64("norm").alias("key"))
-    )
+    """``sid, hid, harvest_id, line_no, rank, key`` of each non-blank line; ``rank`` counts these only."""
+    keyed = F.transform(F.split("item.content", "\n"), lambda x, i: F.struct(i.alias("line_no"), line_key(x).alias("norm")))
+    return envelopes.select(
+        F.xxhash64(F.coalesce(F.col("source_name"), F.lit("\0"))).alias("sid"),
+        F.xxhash64("harvest_id").alias("hid"),
+        "harvest_id",
+        F.posexplode(F.filter(keyed, lambda x: x["norm"] != "")).alias("rank", "line"),
+    ).select("sid", "hid", "harvest_id", F.col("line.line_no").alias("line_no"), "rank", F.xxhash64("line.norm").alias("key"))
 
 
 def _totals(envelopes: DataFrame) -> DataFrame:
@@ -98,8 +94,8 @@ def blocks(found: DataFrame, nodes: DataFrame, min_docs: int = MIN_DOCS, min_sha
     edges = (
         found.dropDuplicates(["harvest_id", "line_no"])
         .withColumn("other", F.lead("key").over(follow))
-        .withColumn("step", F.lead("line_no").over(follow) - F.col("line_no"))
-        .filter((F.col("step") <= 2) & (F.col("other") != F.col("key")))
+        .withColumn("step", F.lead("rank").over(follow) - F.col("rank"))
+        .filter((F.col("step") == 1) & (F.col("other") != F.col("key")))
         .groupBy("sid", "key", "other")
         .agg(F.count_distinct("hid").alias("weight"), F.first("total").alias("total"))
         .filter((F.col("weight") >= min_docs) & (F.col("weight") >= F.lit(min_share) * F.col("total")))
