@@ -5,8 +5,8 @@ longest pieces that occur in that text, and the language that needs the fewest p
 wins. Confidence is how far it lies below the next one.
 
 The labelled text is what ``locale`` names, of at most ``SAMPLE`` items a language chosen by hash; since
-labels are noisy, a first set of automata judges that sample and only segments that agree with their
-label build the second. ``TRAIN_CHARS`` bounds an automaton. Everything else runs over all segments.
+labels are noisy, a first set of automata is built from the segments whose words speak for their label
+and the second adds what the first explain worst. ``TRAIN_CHARS`` bounds an automaton. Everything else runs over all segments.
 
 A segment is a sentence or a line without sentence marks. Links, handles, hash tags and encoded data are
 no language; a segment counts from ``LEAST_LETTERS`` letters on. Automata of one script compete; the
@@ -36,6 +36,7 @@ WORST_RATE = 0.5
 _SCRIPTS = {"latin": ("en", "de", "fr", "es", "vi"), "cyrillic": ("ru",), "devanagari": ("hi",), "cjk": ("zh", "ja")}
 _ALPHABET = {"latin": 128, "cyrillic": 64, "devanagari": 96, "cjk": 512}
 _DROP = re.compile(r"https?://\S+|\bwww\.\S+|\S+@\S+|[@#]\w+|\b(?=\w*\d)\w{16,}\b|[A-Za-z0-9+/=_-]{40,}")
+_DROPS = re.compile(r"[@#]|://|www\.|[!-~]{16}")  # without one of these there is nothing to drop
 _SPLIT = re.compile(r"(?<=[^\W\d_]{3}[.!?…])[\"”’»“)]*\s+|(?<=[。！？।])[」』”’]*|\n|(?<=\s[!?])\s+")
 
 
@@ -105,7 +106,10 @@ class Judge:
                 tables.append(np.where(table > 0, table + at, 0).astype(np.int32))
                 roots.append(at + 1)
                 at += len(table)
-            self.groups.append((languages, code, np.concatenate(tables), np.array(roots, np.int32)))
+            # states are offsets of their rows, so a step is one addition and one look-up
+            table, roots = np.concatenate(tables) * np.int32(width), np.array(roots, np.int32) * np.int32(width)
+            first = table[roots // width]
+            self.groups.append((languages, code, table.reshape(-1), np.where(first == 0, roots[:, None], first), roots))
 
     def judge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each segment its letters, its language (as an index, -1 for none), the confidence and the rate of phrases."""
@@ -123,42 +127,43 @@ class Judge:
         # a letter of a script without an alphabet says about as much as two or three of one with
         share = np.stack([np.bincount(owner[script == k], minlength=n) * (2.5 if k == 4 else 1) for k in (1, 2, 3, 4)])
         most = np.where(letters >= LEAST_LETTERS, share.argmax(axis=0), -1)
-        for g, (languages, code, table, roots) in enumerate(self.groups):
+        for g, (languages, code, table, first, roots) in enumerate(self.groups):
             own = np.flatnonzero((most == g) & (share[g] > 0))
             if not len(own):
                 continue
-            own = own[np.argsort(-lengths[own], kind="stable")]
-            start, size = (ends - lengths)[own], lengths[own]
-            rate = self._phrases(code, table, roots, points, start, size) / np.maximum(1, size)
+            mine = np.zeros(n, bool)
+            mine[own] = True
+            inside = mine[owner]
+            coded, of = code[points[inside]], owner[inside]
+            # a run of non-letters is one
+            keep = ~((coded == 2) & (np.concatenate([[0], coded[:-1]]) == 2))
+            coded, size = coded[keep], np.bincount(of[keep], minlength=n)
+            start = np.cumsum(size) - size
+            own = own[np.argsort(-size[own], kind="stable")]
+            rate = self._phrases(table, first, roots, coded, start[own], size[own]) / np.maximum(1, size[own])
             order = np.argsort(rate, axis=0)
-            first = np.take_along_axis(rate, order[:1], 0)[0]
+            fewest = np.take_along_axis(rate, order[:1], 0)[0]
             second = np.take_along_axis(rate, order[1:2], 0)[0] if len(languages) > 1 else np.ones(len(own))
-            ok = first <= WORST_RATE
+            ok = fewest <= WORST_RATE
             best[own[ok]] = np.array([LANGUAGES.index(x) for x in languages])[order[0]][ok]
-            sure[own], rates[own] = 1 - first / np.maximum(second, 1e-9), first
+            sure[own], rates[own] = 1 - fewest / np.maximum(second, 1e-9), fewest
         return letters, best, sure, rates
 
     @staticmethod
-    def _phrases(code, table, roots, points, start, size) -> np.ndarray:
+    def _phrases(table, first, roots, coded, start, size) -> np.ndarray:
         """Greedy cross-parses of all segments (longest first) by all automata at once, a character a step."""
-        width = table.shape[1]
-        flat = table.reshape(-1)
         state = np.repeat(roots[:, None], len(start), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        before = np.full(len(start), 2, np.int16)
+        count = np.ones(state.shape, np.int32)
         alive = len(start)
-        for t in range(int(size[0])):
-            while alive and size[alive - 1] <= t:
+        for t in range(int(size[0]) if len(size) else 0):
+            while size[alive - 1] <= t:
                 alive -= 1
-            c = code[points[start[:alive] + t]]
-            step = flat[state[:, :alive] * width + c]
-            again = flat[roots[:, None] * width + c]
+            c = coded[start[:alive] + t]
+            step = table[state[:, :alive] + c]
             miss = step == 0
-            held = (c == 2) & (before[:alive] == 2)  # a run of non-letters is one
-            count[:, :alive] += miss & ~held
-            state[:, :alive] = np.where(held, state[:, :alive], np.where(miss, np.where(again == 0, roots[:, None], again), step))
-            before[:alive] = c
-        return count + 1
+            count[:, :alive] += miss
+            state[:, :alive] = np.where(miss, first[:, c], step)
+        return count
 
 
 def _squeeze(codes: np.ndarray) -> np.ndarray:
@@ -167,7 +172,7 @@ def _squeeze(codes: np.ndarray) -> np.ndarray:
 
 def pieces(text: str) -> list[tuple[int, str]]:
     """Start and text of the segments of a text, links and encoded data blanked out."""
-    plain = _DROP.sub(lambda m: " " * len(m[0]), text)
+    plain = _DROP.sub(lambda m: " " * len(m[0]), text) if _DROPS.search(text) else text
     out, at = [], 0
     for m in _SPLIT.finditer(plain):
         if m.start() > at:
@@ -198,19 +203,36 @@ def fit(envelopes: DataFrame, sample: int = SAMPLE, chars: int = TRAIN_CHARS) ->
     said: dict[str, list[str]] = defaultdict(list)
     for r in picked.collect():
         said[r["locale"]] += [p for _, p in pieces(r["text"]) if sum(map(str.isalpha, p)) >= LEAST_LETTERS]
+    said = _voted({lang: list(dict.fromkeys(lines)) for lang, lines in said.items()})
     first = Judge({lang: _take(lines, chars // 2) for lang, lines in said.items()})
     kept = {}
     for lang, lines in said.items():
-        lines = list(dict.fromkeys(lines))
-        _, best, sure, rate = first.judge(lines)
-        agree = np.array([b >= 0 and LANGUAGES[b] == lang for b in best])
-        # what the first automata explain worst, but do not clearly call another language, adds most
-        hard = [lines[i] for i in np.argsort(-rate, kind="stable") if (agree[i] or 0 <= best[i] and sure[i] < SURE)]
-        known = [x for x, ok in zip(lines, agree) if ok]
-        kept[lang] = _take(known, chars // 2) + "\n" + _varied(hard, chars // 2)
+        _, _, _, rate = first.judge(lines)
+        # what the first automata explain worst adds most
+        hard = [lines[i] for i in np.argsort(-rate, kind="stable")]
+        kept[lang] = _take(lines, chars // 2) + "\n" + _varied(hard, chars // 2)
     return kept
 
 
+def _voted(said: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The lines of each label whose words speak for it: labels are wrong or mixed here and there, words are not."""
+    grams = {lang: [_words(x) for x in lines] for lang, lines in said.items()}
+    counts = {lang: Counter(w for ws in own for w in ws) for lang, own in grams.items()}
+    total = {lang: sum(c.values()) + 1 for lang, c in counts.items()}
+    out: dict[str, list[str]] = {lang: [] for lang in said}
+    for lang, lines in said.items():
+        for line, ws in zip(lines, grams[lang]):
+            score = {k: sum(np.log((counts[k][w] + 0.2) / total[k]) for w in ws) for k in counts}
+            if ws and max(score, key=score.get) == lang:
+                out[lang].append(line)
+    return out
+
+
+def _words(line: str) -> list[str]:
+    """Words of a line, or pairs of characters where there are no spaces."""
+    return [w for w in re.findall(r"[^\W\d_]{2,}", line.lower()) if _SCRIPT[ord(w[0])] != 4] + [line[i : i + 2] for i in range(len(line) - 1) if _SCRIPT[ord(line[i])] == 4]
+
+
 def _varied(lines: list[str], chars: int) -> str:
     """The first lines that begin differently, up to the bound."""
     seen, out, size = set(), [], 0
