@@ -5,8 +5,9 @@ longest pieces that occur in that text, and the language that needs the fewest p
 wins. Confidence is how far it lies below the next one.
 
 The labelled text is what ``locale`` names, of at most ``SAMPLE`` items a language chosen by hash; since
-labels are noisy, a first set of automata is built from the segments whose words speak for their label
-and the second adds what the first explain worst. ``TRAIN_CHARS`` bounds an automaton. Everything else runs over all segments.
+labels are noisy, a first set of automata is built from the segments whose words speak for their
+label and the second adds what the first explain worst. ``TRAIN_CHARS`` bounds an automaton. Everything
+else runs over all segments.
 
 A segment is a sentence or a line without sentence marks. Links, handles, hash tags and encoded data are
 no language; a segment counts from ``LEAST_LETTERS`` letters on. Automata of one script compete; the
@@ -218,12 +219,19 @@ def _voted(said: dict[str, list[str]]) -> dict[str, list[str]]:
     """The lines of each label whose words speak for it: labels are wrong or mixed here and there, words are not."""
     grams = {lang: [_words(x) for x in lines] for lang, lines in said.items()}
     counts = {lang: Counter(w for ws in own for w in ws) for lang, own in grams.items()}
-    total = {lang: sum(c.values()) + 1 for lang, c in counts.items()}
+    labels = list(counts)
+    total = [sum(counts[k].values()) + 1 for k in labels]
+    known: dict[str, np.ndarray] = {}
+
+    def says(w: str) -> np.ndarray:
+        if w not in known:
+            known[w] = np.log([(counts[k][w] + 0.2) / t for k, t in zip(labels, total)])
+        return known[w]
+
     out: dict[str, list[str]] = {lang: [] for lang in said}
     for lang, lines in said.items():
         for line, ws in zip(lines, grams[lang]):
-            score = {k: sum(np.log((counts[k][w] + 0.2) / total[k]) for w in ws) for k in counts}
-            if ws and max(score, key=score.get) == lang:
+            if ws and labels[int(np.sum([says(w) for w in ws], axis=0).argmax())] == lang:
                 out[lang].append(line)
     return out
 
