@@ -38,10 +38,12 @@ MIN_CHARS = 150
 EXTRA = 0.1
 SKETCH_BITS = 22
 _SLICES = 64
-_BATCH = 1500
+_BATCH = 500
 _BLOCK = 100_000
 _CHUNK = 300_000
-_WORDS = 8
+_WORDS = 4
+_LONG_WORDS = 32
+_SKETCH_BUFFER = 6_000_000
 _FRAGMENT_RECORDS = 60_000
 
 
@@ -120,16 +122,24 @@ def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bit
 
     def rows(batches):
         counts = np.zeros(width, np.int64)
+        waiting, held = [], 0
         for _, points, _ in _texts(batches, min_chars):
             # the few windows over the edge of two records do not matter for rarity
-            np.add.at(counts, (window_hashes(points, gram) >> np.uint64(64 - bits)).astype(np.int64), 1)
+            waiting.append((window_hashes(points, gram) >> np.uint64(64 - bits)).astype(np.int32))
+            held += len(waiting[-1])
+            if held > _SKETCH_BUFFER:
+                counts += np.bincount(np.concatenate(waiting), minlength=width)
+                waiting, held = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=width)
         if counts.any():
             slot = int(counts[:: width // 64].sum()) % 16
             for s, own in enumerate(np.split(counts, _SLICES)):
-                yield pd.DataFrame({"slice": [s], "slot": [slot], "counts": [zlib.compress(own.tobytes(), 1)]})
+                yield pd.DataFrame({"slice": [s], "slot": [slot], "counts": [zlib.compress(own.astype(np.uint32).tobytes(), 1)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in pdf["counts"])
+        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "slot": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, slot int, counts binary"
@@ -143,7 +153,7 @@ def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bit
 
 def _levels(batches):
     for pdf in batches:
-        levels = [zlib.compress(np.minimum(255, 6 * np.log2(1.0 + np.frombuffer(zlib.decompress(c), np.int64))).astype(np.uint8).tobytes(), 1) for c in pdf["counts"]]
+        levels = [zlib.compress(np.minimum(255, 6 * np.log2(1.0 + np.frombuffer(zlib.decompress(c), np.uint32))).astype(np.uint8).tobytes(), 1) for c in pdf["counts"]]
         yield pd.DataFrame({"slice": pdf["slice"], "level": levels})
 
 
@@ -217,6 +227,14 @@ def _signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> list[np.nda
     return [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), edges) if docs else bit for w in range(_WORDS)]
 
 
+def _long_signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """Per record a row of ``_LONG_WORDS`` words of parity."""
+    mixed = (tokens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    out = np.zeros(docs * _LONG_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * np.int64(_LONG_WORDS) + ((mixed >> np.uint64(6)) % np.uint64(_LONG_WORDS)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+    return out.reshape(docs, _LONG_WORDS)
+
+
 def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHOLD, extra: float = EXTRA, by_batch: bool = False) -> pd.DataFrame:
     """Partial overlaps of the pairs of one fragment that reach their share of the bound.
 
@@ -244,8 +262,8 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
     starts = np.cumsum(counts) - counts
     counts, keys, sizes, batches, fresh = counts[held], keys[held], sizes[held].astype(np.int64), batches[held], fresh[held]
     owner = np.repeat(np.arange(len(held), dtype=np.int32), counts)
-    place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-    tokens = tokens[np.repeat(starts[held], counts) + place]
+    behind = (np.repeat(np.cumsum(counts), counts) - np.arange(len(owner))).astype(np.int32)  # windows of the segment from here on
+    tokens = tokens[np.repeat(starts[held] + counts, counts) - behind]
     sig = _signatures(tokens, owner, len(held))
     ratio = threshold / (1 + threshold)
     # the least overlap of the prefixes without its rounding up
@@ -263,17 +281,19 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
         posting = tokens[px].astype(np.int64) << 32 | owner[px]
         order = np.argsort(posting)
         px, posting = px[order], posting[order]
-        held_by, size_of, left_of = owner[px], sizes[owner[px]].astype(np.float32), (counts[owner] - place)[px].astype(np.int32)
+        held_by, left_of = owner[px], behind[px]
+        size_of = sizes.astype(np.float32)[held_by]
+        del order
         py = px if ys is None else np.flatnonzero(ys[owner]).astype(np.int32)
         py = py if ys is None else py[np.argsort(tokens[py], kind="stable")]
-        own_token = tokens[px]
         for at in range(0, len(py), _BLOCK):
             own = py[at : at + _BLOCK]
-            lo, hi = np.searchsorted(own_token, tokens[own], "left"), np.searchsorted(own_token, tokens[own], "right")
+            token = tokens[own].astype(np.int64)
+            lo, hi = np.searchsorted(posting, token << 32), np.searchsorted(posting, token + 1 << 32)
             several = hi - lo > 1 if ys is None else hi > lo
             own, lo, hi = own[several], lo[several], hi[several]
             y = owner[own]
-            ny, left = sizes[y].astype(np.float64), (counts[y] - place[own]).astype(np.int32)
+            ny, left = sizes[y].astype(np.float64), behind[own]
             base = slope[y] - 2
             # a window at this place leaves only so many behind it, which bounds the size of x:
             # y's own side of the least overlap is the smaller one where nx <= ny, but for rounding
@@ -309,10 +329,19 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
                     if len(x):
                         out.append(_distinct(x.astype(np.int64) << 32 | yy))
                 b = e
+        del posting, px, py, held_by, left_of, size_of
     if not out:
         return pd.DataFrame(columns=[c.split()[0] for c in PARTIAL.split(", ")])
     pairs = _distinct(np.concatenate(out))
     x, y = pairs >> 32, pairs & 0xFFFFFFFF
+    # of these few, long signatures leave hardly any pair that has too little
+    long = _long_signatures(tokens, owner, len(held))
+    room = counts[x] + counts[y] - 2 * least(x, y)
+    for at in range(0, len(x), 20_000):
+        part = slice(at, at + 20_000)
+        room[part] -= np.bitwise_count(long[x[part]] ^ long[y[part]]).sum(axis=1, dtype=np.int64)
+    del long
+    x, y = x[room >= 0], y[room >= 0]
     shared = _overlaps(x, y, tokens, counts)
     ok = (shared >= least(x, y)) & (keys[x] != keys[y]).any(axis=1)
     x, y, shared = x[ok], y[ok], shared[ok]
@@ -324,6 +353,8 @@ def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHO
 
 def _overlaps(x: np.ndarray, y: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Shared tokens of the segments of each pair; pairs are in order of ``x``, whose tokens are marked once for all its partners."""
+    if not len(x):
+        return np.zeros(0, np.int32)
     order = np.argsort(tokens, kind="stable")
     fresh = np.concatenate([[False], tokens[order][1:] != tokens[order][:-1]])
     ids = np.empty(len(tokens), np.int32)
@@ -358,7 +389,8 @@ def candidates(blocks: DataFrame, fragments: int, threshold: float = THRESHOLD,
         # fragments that did not report the pair hold less than their share
         return shared + (fragments - held) * (least - 1) >= least_shared(nx.to_numpy(), ny.to_numpy(), threshold, extra)
 
-    partial = blocks.groupBy("fragment").applyInPandas(count, PARTIAL)
+    # a partition for few fragments each, which nothing merges again: a fragment is long work on little data
+    partial = blocks.repartition(4 * fragments, "fragment").groupBy("fragment").applyInPandas(count, PARTIAL)
     # a pair may come from a fragment once for each of its batches
     once = partial.groupBy(*PAIR, "nx", "ny", "least", "batch_x", "batch_y").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("held"))
     summed = once.groupBy(*PAIR, "nx", "ny", "least").agg(F.max("shared").alias("shared"), F.max("held").alias("held"))

@@ -103,3 +103,26 @@ def test_alignment_equals_the_plain_recurrence():
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 2, h[i, j - 1] - 2)
         assert leakage._align(leakage._padded([a]), leakage._padded([b]))[0] == h.max()
+
+
+def test_partial_overlaps_equal_brute_force(spark):
+    """A fragment reports exactly the pairs whose partial overlap reaches its share of the bound."""
+    import numpy as np
+    import pandas as pd
+
+    texts = corpus(11, 90)
+    df = spark.createDataFrame(pd.DataFrame({"harvest_id": [str(i) for i in range(len(texts))], "batch_no": 0, "title": "", "content": texts}))
+    levels = spark.sparkContext.broadcast(simjoin.rarity(df, bits=12))
+    blocks = simjoin.segments(df, levels, 3).toPandas()
+    for _, own in blocks.groupby("fragment"):
+        keys, sizes, counts = simjoin._join(own["keys"], np.int64).reshape(-1, 2), simjoin._join(own["sizes"], np.int32), simjoin._join(own["counts"], np.uint32).astype(int)
+        tokens, ends = simjoin._join(own["tokens"], np.uint32), np.cumsum(counts)
+        sets = {tuple(k): (int(n), set(tokens[e - c : e].tolist())) for k, n, c, e in zip(keys.tolist(), sizes, counts, ends)}
+        want = {}
+        for a in sets:
+            for b in sets:
+                (na, sa), (nb, sb) = sets[a], sets[b]
+                if a < b and min(na, nb) >= 0.7 * max(na, nb) - 1e-9 and 3 * len(sa & sb) >= max(1, int(simjoin.least_shared(np.array(na), np.array(nb)))):
+                    want[frozenset((a, b))] = len(sa & sb)
+        got = simjoin.fragment_pairs(own, 3)
+        assert {frozenset(((r.ax, r.bx), (r.ay, r.by))): r.shared for r in got.itertuples()} == want and len(want) > 20
