@@ -9,8 +9,8 @@ labels are noisy, a first set of automata is built from the segments whose words
 label and the second adds what the first explain worst. ``TRAIN_CHARS`` bounds an automaton. Everything
 else runs over all segments.
 
-A segment is a sentence or a line without sentence marks. Links, handles, hash tags and encoded data are
-no language; a segment counts from ``LEAST_LETTERS`` letters on. Automata of one script compete; the
+A segment is a sentence unit (problem 10) or a line without sentence marks. Links, handles, hash tags and
+encoded data are no language and end where a script without spaces begins; a segment counts from ``LEAST_LETTERS`` letters on. Automata of one script compete; the
 script of most letters of a segment picks them. All segments of a batch are parsed in lock step.
 
 Defined results: null and empty texts have no segments, so no language; a locale that is null, blank or
@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm import sentences
+
 LANGUAGES = ("en", "de", "fr", "es", "vi", "ru", "zh", "ja", "hi")
 SAMPLE = 800
 TRAIN_CHARS = 24_000
@@ -36,9 +38,11 @@ LEAST_LETTERS = 20
 WORST_RATE = 0.5
 _SCRIPTS = {"latin": ("en", "de", "fr", "es", "vi"), "cyrillic": ("ru",), "devanagari": ("hi",), "cjk": ("zh", "ja")}
 _ALPHABET = {"latin": 128, "cyrillic": 64, "devanagari": 96, "cjk": 512}
-_DROP = re.compile(r"https?://\S+|\bwww\.\S+|\S+@\S+|[@#]\w+|\b(?=\w*\d)\w{16,}\b|[A-Za-z0-9+/=_-]{40,}")
-_DROPS = re.compile(r"[@#]|://|www\.|[!-~]{16}")  # without one of these there is nothing to drop
-_SPLIT = re.compile(r"(?<=[^\W\d_]{3}[.!?…])[\"”’»“)]*\s+|(?<=[。！？।])[」』”’]*|\n|(?<=\s[!?])\s+")
+# characters of scripts without spaces end a link, an address or a tag, as white space does elsewhere
+_SPACELESS = "\u2e80-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_JOINED = rf"[^\s@“”«»\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65{_SPACELESS}]"
+_DROP = re.compile(rf"(?:https?://|(?<![A-Za-z0-9_])www\.)(?:{_JOINED}|@)+|(?<!{_JOINED}){_JOINED}+@{_JOINED}+|[@#](?:(?![{_SPACELESS}])\w)+|(?a:\b(?=\w*\d)\w{{16,}}\b)|[A-Za-z0-9+/=_-]{{40,}}")
+_DROPS = re.compile(r"[@#]|://|www\.|[!-~]{16}")  # every match of _DROP holds one of these
 
 
 def _table(spans: dict[int, list[tuple[int, int]]]) -> np.ndarray:
@@ -172,16 +176,9 @@ def _squeeze(codes: np.ndarray) -> np.ndarray:
 
 
 def pieces(text: str) -> list[tuple[int, str]]:
-    """Start and text of the segments of a text, links and encoded data blanked out."""
+    """Start and text of the sentence units of a text, links and encoded data blanked out."""
     plain = _DROP.sub(lambda m: " " * len(m[0]), text) if _DROPS.search(text) else text
-    out, at = [], 0
-    for m in _SPLIT.finditer(plain):
-        if m.start() > at:
-            out.append((at, plain[at : m.start()]))
-        at = m.end()
-    if at < len(plain):
-        out.append((at, plain[at:]))
-    return out
+    return [(a, plain[a:b]) for a, b in sentences.units(text)]
 
 
 def locale_language(locale):

@@ -66,6 +66,23 @@ def test_languages(envelopes):
     assert got == {("a", "de"), ("b", "fr")}
 
 
+@pytest.mark.parametrize("odd", ["", " #tag", " a@b.de"])
+def test_only_what_is_no_language_is_blanked(odd):
+    kept = ["画面に身分証番号が七百二十三回も表示されて723回も困った", "这段文字写给foo@bar.com之后还有很多人继续阅读", "詳しくはhttps://example.com/a?b=1をご覧ください", "今回の#MLOps画面に番号が映っていた"]
+    gone = ["foo@bar.com", "https://example.com/a?b=1", "#MLOps"]
+    text = "\n".join(kept) + odd
+    left = "\n".join(s for _, s in languages.pieces(text))
+    assert [c for c in left if "\u3040" <= c <= "\u9fff"] == [c for c in text if "\u3040" <= c <= "\u9fff"]
+    assert not any(g in left for g in gone)
+    assert [s.split() for _, s in languages.pieces("voir #học_máy ici https://x.vn/học et a1b2c3d4e5f6g7h8 là")] == [["voir", "ici", "et", "là"]]
+
+
+def test_segments_are_sentence_units():
+    text = "We know what it is. Das war um 3. Mai. Siehe https://x.de. Danach ging es weiter."
+    got = [s.strip() for _, s in languages.pieces(text)]
+    assert got[0] == "We know what it is." and got[1] == "Das war um 3. Mai." and [a for a, _ in languages.pieces(text)] == [a for a, _ in sentences.units(text)]
+
+
 def test_automaton_finds_every_substring():
     rnd = random.Random(5)
     codes = [rnd.randint(3, 5) for _ in range(60)]
