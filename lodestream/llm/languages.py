@@ -13,7 +13,11 @@ A segment is a sentence unit (problem 10) or a line without sentence marks. Link
 encoded data are no language and end where a script without spaces begins; a segment counts from ``LEAST_LETTERS`` letters on. Automata of one script compete; the
 script of most letters of a segment picks them. All segments of a batch are parsed in lock step.
 
-Defined results: null and empty texts have no segments, so no language; a locale that is null, blank or
+Each item gets a language: its shorter segments are joined by script and judged too, and an item with
+nothing but segments that are explained badly is judged on those.
+
+Defined results: texts without letters of these scripts, null and empty ones have no segments and a null
+language of confidence 0; a locale that is null, blank or
 names none of the languages equals none; copies of a record come out once; an empty table gives no rows.
 """
 
@@ -35,9 +39,10 @@ SAMPLE = 800
 TRAIN_CHARS = 24_000
 SURE = 0.15
 LEAST_LETTERS = 20
-WORST_RATE = 0.5
+# phrases a letter above which a segment is no language; one character is often a phrase in Han and kana
+WORST_RATE = {"latin": 0.5, "cyrillic": 0.5, "devanagari": 0.5, "cjk": 1.0}
+DENSE = 1 << 26
 _SCRIPTS = {"latin": ("en", "de", "fr", "es", "vi"), "cyrillic": ("ru",), "devanagari": ("hi",), "cjk": ("zh", "ja")}
-_ALPHABET = {"latin": 128, "cyrillic": 64, "devanagari": 96, "cjk": 512}
 # characters of scripts without spaces end a link, an address or a tag, as white space does elsewhere
 _SPACELESS = "\u2e80-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _JOINED = rf"[^\s@“”«»\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65{_SPACELESS}]"
@@ -59,7 +64,7 @@ _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x11000
 
 
 class Automaton:
-    """The suffix automaton of a coded text as a dense table of transitions; row 0 is no state."""
+    """The suffix automaton of a coded text; row 0 is no state."""
 
     def __init__(self, codes: list[int], width: int) -> None:
         link, length, nexts, last = [-1], [0], [{}], 0
@@ -86,38 +91,64 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        self.table = np.zeros((len(link) + 1, width), np.int32)
-        for state, own in enumerate(nexts, 1):
-            for c, to in own.items():
-                self.table[state, c] = to + 1
+        self.rows, self.width = len(link) + 1, width
+        self.edges = np.array([(state, c, to + 1) for state, own in enumerate(nexts, 1) for c, to in own.items()], np.int32).reshape(-1, 3)
+
+    @property
+    def table(self) -> np.ndarray:
+        """The transitions as a dense table."""
+        out = np.zeros((self.rows, self.width), np.int32)
+        out[self.edges[:, 0], self.edges[:, 1]] = self.edges[:, 2]
+        return out
+
+
+def _steps(edges: np.ndarray, rows: int, width: int, dense: int):
+    """Look-up of the target row's offset by row offset plus code; sorted edges where a dense table would be large."""
+    keys, to = edges[:, 0].astype(np.int64) * width + edges[:, 1], edges[:, 2].astype(np.int64) * width
+    if rows * width <= dense:
+        table = np.zeros(rows * width, np.int32)
+        table[keys] = to
+        return table.__getitem__
+    order = np.argsort(keys)
+    keys, to = np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], 0)
+
+    def look(at: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(keys, at)
+        return np.where(keys[i] == at, to[i], 0)
+
+    return look
 
 
 class Judge:
     """The automata of all languages; built once for each worker from their texts."""
 
-    def __init__(self, texts: dict[str, str]) -> None:
+    def __init__(self, texts: dict[str, str], dense: int = DENSE) -> None:
         self.groups = []
         for script, languages in _SCRIPTS.items():
-            width = _ALPHABET[script]
             letters = Counter(c for lang in languages for c in texts.get(lang, "").lower() if _LETTER[ord(c)] or _SCRIPT[ord(c)])
+            width = len(letters) + 3
             code = np.ones(0x110000, np.int16)  # 1: a letter no automaton knows
             code[~_LETTER & (_SCRIPT == 0)] = 2  # 2: between words
-            for i, (c, _) in enumerate(letters.most_common(width - 3), 3):
+            for i, (c, _) in enumerate(letters.most_common(), 3):
                 code[ord(c)] = i
-            tables, roots, at = [], [], 0
+            edges, roots, at = [], [], 0
             for lang in languages:
                 coded = _squeeze(code[np.frombuffer(texts.get(lang, "").lower().encode("utf-32-le"), np.uint32)])
-                table = Automaton(coded.tolist(), width).table
-                tables.append(np.where(table > 0, table + at, 0).astype(np.int32))
+                own = Automaton(coded.tolist(), width)
+                edges.append(own.edges + np.array([at, 0, at], np.int32))
                 roots.append(at + 1)
-                at += len(table)
+                at += own.rows
             # states are offsets of their rows, so a step is one addition and one look-up
-            table, roots = np.concatenate(tables) * np.int32(width), np.array(roots, np.int32) * np.int32(width)
-            first = table[roots // width]
-            self.groups.append((languages, code, table.reshape(-1), np.where(first == 0, roots[:, None], first), roots))
+            kind = np.int32 if at * width <= dense else np.int64
+            look, roots = _steps(np.concatenate(edges), at, width, dense), np.array(roots, kind) * kind(width)
+            first = look(roots[:, None] + np.arange(width, dtype=kind))
+            self.groups.append((languages, code, look, np.where(first == 0, roots[:, None], first), roots, WORST_RATE[script]))
 
-    def judge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment its letters, its language (as an index, -1 for none), the confidence and the rate of phrases."""
+    def judge(self, segments: list[str], least: int = LEAST_LETTERS, limited: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each segment its letters, its language (as an index, -1 for none), the confidence and the rate of phrases.
+
+        Segments under ``least`` letters and, if ``limited``, those above ``WORST_RATE`` have no language.
+        """
         n = len(segments)
         letters, best, sure, rates = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n), np.ones(n)
         if not n:
@@ -131,8 +162,8 @@ class Judge:
         script = _SCRIPT[points]
         # a letter of a script without an alphabet says about as much as two or three of one with
         share = np.stack([np.bincount(owner[script == k], minlength=n) * (2.5 if k == 4 else 1) for k in (1, 2, 3, 4)])
-        most = np.where(letters >= LEAST_LETTERS, share.argmax(axis=0), -1)
-        for g, (languages, code, table, first, roots) in enumerate(self.groups):
+        most = np.where(letters >= least, share.argmax(axis=0), -1)
+        for g, (languages, code, look, first, roots, worst) in enumerate(self.groups):
             own = np.flatnonzero((most == g) & (share[g] > 0))
             if not len(own):
                 continue
@@ -145,17 +176,17 @@ class Judge:
             coded, size = coded[keep], np.bincount(of[keep], minlength=n)
             start = np.cumsum(size) - size
             own = own[np.argsort(-size[own], kind="stable")]
-            rate = self._phrases(table, first, roots, coded, start[own], size[own]) / np.maximum(1, size[own])
+            rate = self._phrases(look, first, roots, coded, start[own], size[own]) / np.maximum(1, size[own])
             order = np.argsort(rate, axis=0)
             fewest = np.take_along_axis(rate, order[:1], 0)[0]
             second = np.take_along_axis(rate, order[1:2], 0)[0] if len(languages) > 1 else np.ones(len(own))
-            ok = fewest <= WORST_RATE
+            ok = (fewest <= worst) | (not limited)
             best[own[ok]] = np.array([LANGUAGES.index(x) for x in languages])[order[0]][ok]
-            sure[own], rates[own] = 1 - fewest / np.maximum(second, 1e-9), fewest
+            sure[own], rates[own] = np.maximum(0, 1 - fewest / np.maximum(second, 1e-9)), fewest
         return letters, best, sure, rates
 
     @staticmethod
-    def _phrases(table, first, roots, coded, start, size) -> np.ndarray:
+    def _phrases(look, first, roots, coded, start, size) -> np.ndarray:
         """Greedy cross-parses of all segments (longest first) by all automata at once, a character a step."""
         state = np.repeat(roots[:, None], len(start), axis=1)
         count = np.ones(state.shape, np.int32)
@@ -164,7 +195,7 @@ class Judge:
             while size[alive - 1] <= t:
                 alive -= 1
             c = coded[start[:alive] + t]
-            step = table[state[:, :alive] + c]
+            step = look(state[:, :alive] + c)
             miss = step == 0
             count[:, :alive] += miss
             state[:, :alive] = np.where(miss, first[:, c], step)
@@ -272,8 +303,19 @@ def settle(owner: np.ndarray, letters: np.ndarray, best: np.ndarray, sure: np.nd
     return out
 
 
-def segments(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """``harvest_id, locale, start_pos, letters, lang, confidence`` of every segment long enough to tell."""
+def _rest(owner: np.ndarray, texts: list[str], letters: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Owner, script and text of what the segments leave: the short ones of each item joined by script, or all of an item that has nothing else."""
+    has = set(owner[best >= 0]) | set(owner[(letters > 0) & (letters < LEAST_LETTERS)])
+    joined: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for i in np.flatnonzero((letters > 0) & (best < 0)):
+        if letters[i] < LEAST_LETTERS or owner[i] not in has:
+            kinds = np.bincount(_SCRIPT[np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=5)
+            joined[owner[i], int(kinds[1:].argmax())].append(texts[i])
+    return np.array([k for k, _ in joined], np.int64), np.array([k for _, k in joined], np.int64), ["\n".join(x) for x in joined.values()]
+
+
+def _judged(envelopes: DataFrame, texts: dict[str, str] | None, whole: bool) -> DataFrame:
+    """The segments long enough to tell; if ``whole``, also the rest of each item (``start_pos`` below 0), if only that it has no language."""
     texts = texts or fit(envelopes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,30 +325,49 @@ def segments(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataF
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 parts = [pieces(t) if t else [] for t in part["text"]]
-                counts = [len(p) for p in parts]
                 flat = [x for p in parts for x in p]
+                owner, start = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array([p for p, _ in flat], np.int64)
                 letters, best, sure, _ = judge.judge([s for _, s in flat])
-                best = settle(np.repeat(np.arange(len(parts)), counts), letters, best, sure)
+                if whole:
+                    own, kinds, joined = _rest(owner, [s for _, s in flat], letters, best)
+                    more = judge.judge(joined, 1, limited=False)
+                    n = len(owner)
+                    weight = np.concatenate([letters, np.zeros(len(own), np.int64)])
+                    owner, letters, best, sure = (np.concatenate(x) for x in ((owner, own), (letters, more[0]), (best, more[1]), (sure, more[2])))
+                    best = settle(owner, weight, best, sure)
+                    none = np.setdiff1d(np.arange(len(parts)), owner[best >= 0])
+                    start = np.concatenate([start, -1 - kinds, np.full(len(none), -9)])
+                    owner, letters, best, sure = (np.concatenate(x) for x in ((owner, none), (letters, 0 * none), (best, 0 * none - 1), (sure, 0.0 * none)))
+                    keep = (best >= 0) | (np.arange(len(owner)) >= n + len(own))
+                else:
+                    best = settle(owner, letters, best, sure)
+                    keep = best >= 0
                 out = pd.DataFrame({
-                    "harvest_id": np.repeat(part["harvest_id"].to_numpy(), counts),
-                    "locale": np.repeat(part["locale"].to_numpy(), counts),
-                    "start_pos": np.array([p for p, _ in flat], np.int64),
+                    "harvest_id": part["harvest_id"].to_numpy()[owner],
+                    "locale": part["locale"].to_numpy()[owner],
+                    "start_pos": start,
                     "letters": letters,
                     "lang": np.array([*LANGUAGES, None], object)[best],
                     "confidence": sure,
                 })
-                yield out[best >= 0]
+                yield out[keep]
 
     schema = "harvest_id string, locale string, start_pos int, letters int, lang string, confidence double"
     return _items(envelopes).mapInPandas(rows, schema)
 
 
+def segments(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+    """``harvest_id, locale, start_pos, letters, lang, confidence`` of every segment long enough to tell."""
+    return _judged(envelopes, texts, False)
+
+
 def documents(envelopes: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """``harvest_id, lang, confidence``: the language of most letters of each document, and their share of them."""
-    own = segments(envelopes, texts).dropDuplicates(["harvest_id", "start_pos"]).groupBy("harvest_id", "lang").agg(F.sum("letters").alias("letters"), F.avg("confidence").alias("c"))
+    """``harvest_id, lang, confidence`` of every item: the language of most of its letters, and their share of them."""
+    own = _judged(envelopes, texts, True).groupBy("harvest_id", "start_pos", "lang").agg(F.max("letters").alias("letters"), F.max("confidence").alias("confidence"))
+    own = own.groupBy("harvest_id", "lang").agg(F.sum("letters").alias("letters"), F.avg("confidence").alias("c"))
     return own.groupBy("harvest_id").agg(
         F.max_by("lang", F.struct("letters", "lang")).alias("lang"),
-        F.round(F.max("letters") / F.sum("letters") * F.max_by("c", F.struct("letters", "lang")), 4).alias("confidence"),
+        F.round(F.coalesce(F.try_divide(F.max("letters"), F.sum("letters")), F.lit(0.0)) * F.max_by("c", F.struct("letters", "lang")), 4).alias("confidence"),
     )
 
 

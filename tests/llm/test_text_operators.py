@@ -83,6 +83,29 @@ def test_segments_are_sentence_units():
     assert got[0] == "We know what it is." and got[1] == "Das war um 3. Mai." and [a for a, _ in languages.pieces(text)] == [a for a, _ in sentences.units(text)]
 
 
+SAID = {"en": "the small engine reads every line of the old book", "de": "der kleine Motor liest jede Zeile des alten Buches", "ja": "小さな機械は古い本のすべての行を静かに読んでいる", "zh": "小小的机器安静地阅读着那本旧书里面的每一行文字内容"}
+
+
+def test_every_item_gets_a_language(envelopes):
+    texts = {"a": "der alte Motor.\n" * 5, "b": "阅读文字。机器安静。", "c": None, "d": "12 ... 34", "e": "xqzj" * 9 + " vkqw", "f": "the old book\n小さな機械は古い本の行を静かに読んでいる。", "g": "I"}
+    rows = [(k, "s", 0, None, None, t, "en") for k, t in texts.items()]
+    got = {r["harvest_id"]: r for r in languages.documents(envelopes(rows + rows[:3]), SAID).collect()}
+    assert set(got) == set(texts)
+    assert {k: got[k]["lang"] for k in "abcdf"} == {"a": "de", "b": "zh", "c": None, "d": None, "f": "ja"}
+    assert got["e"]["lang"] and got["g"]["lang"] and got["c"]["confidence"] == got["d"]["confidence"] == 0
+    assert {r["harvest_id"] for r in languages.segments(envelopes(rows), SAID).collect()} == {"f"}
+
+
+def test_rare_characters_of_the_training_text_tell():
+    rnd = random.Random(4)
+    zh, ja = (rnd.sample([chr(c) for c in range(0x4E00 + k, 0x8000, 2)], 900) for k in (0, 1))
+    for dense in (1, languages.DENSE):
+        judge = languages.Judge({"zh": "".join(zh), "ja": "".join(ja)}, dense)
+        varied = [zh[i] for i in range(0, 900, 30)], [ja[i] for i in range(0, 900, 30)]
+        _, best, _, rate = judge.judge(["".join(x) for x in varied])
+        assert [languages.LANGUAGES[b] for b in best] == ["zh", "ja"] and (rate > 0.5).all()
+
+
 def test_automaton_finds_every_substring():
     rnd = random.Random(5)
     codes = [rnd.randint(3, 5) for _ in range(60)]
