@@ -131,8 +131,18 @@ def map_unit(unit: str) -> str:
 
 def units(text: str) -> list[tuple[int, int]]:
     """Spans of the words and odd spaces; a joiner between two emoji belongs to none."""
-    joiners = {j.start() for j in _JOINER.finditer(text)}
-    return [m.span() for m in _UNIT.finditer(text) if m[0] != " " and not (m.end() - m.start() == 1 and m.start() in joiners)]
+    joiners, out = [j.start() for j in _JOINER.finditer(text)], []
+    for m in _UNIT.finditer(text):
+        at, end = m.span()
+        if m[0] == " ":
+            continue
+        for j in [j for j in joiners if at <= j < end] if joiners else ():
+            if j > at:
+                out.append((at, j))
+            at = j + 1
+        if at < end:
+            out.append((at, end))
+    return out
 
 
 _KEY = ["rec_kind", "rec_id", "tid"]
@@ -191,12 +201,12 @@ def _odd(texts: pd.Series) -> pd.Series:
 
 
 def unified(records: DataFrame) -> DataFrame:
-    """``rec_kind, rec_id, text, unified`` of the records that change, each once."""
-    odd = cut(suspects(records).distinct().withColumn("tid", F.xxhash64("text")))
+    """``rec_kind, rec_id, text, unified, odd`` of the records that change or meet the problem's exact condition (``odd``), each once."""
+    check, rebuild = F.pandas_udf(_odd, "boolean"), F.pandas_udf(_rebuild, "string")
+    odd = cut(suspects(records).distinct().withColumn("tid", F.xxhash64("text")).withColumn("odd", check("text")))
     new = odd.mapInPandas(_located, "rec_kind string, rec_id string, tid long, value string").join(canonical_values(odd), "value").filter(F.col("value") != F.col("canonical"))
     changes = new.groupBy(*_KEY).agg(F.collect_list(F.struct("value", "canonical")).alias("changes"))
-    rebuild = F.pandas_udf(_rebuild, "string")
-    return odd.join(changes, _KEY).select("rec_kind", "rec_id", "text", rebuild("text", "changes").alias("unified"))
+    return odd.join(changes, _KEY, "left").filter(F.col("odd") | F.col("changes").isNotNull()).select("rec_kind", "rec_id", "text", rebuild("text", "changes").alias("unified"), "odd")
 
 
 def unify_records(records: DataFrame) -> DataFrame:
@@ -207,6 +217,5 @@ def unify_records(records: DataFrame) -> DataFrame:
 
 
 def found(records: DataFrame) -> DataFrame:
-    """``rec_kind, rec_id`` of the changed records that meet the problem's exact condition."""
-    check = F.pandas_udf(_odd, "boolean")
-    return unified(records).filter(check("text")).select("rec_kind", "rec_id").distinct()
+    """``rec_kind, rec_id`` of the records that meet the problem's exact condition, whether their text changes or not."""
+    return cut(unified(records)).filter("odd").select("rec_kind", "rec_id").distinct()

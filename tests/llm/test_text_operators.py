@@ -56,6 +56,13 @@ def test_lookalikes(spark):
     assert {int(r["rec_id"]) for r in lookalikes.found(records(spark, texts)).collect()} == set(want)
 
 
+def test_mixed_words_without_lookalikes_and_emoji_joiners(spark):
+    texts = ["Δt", "5 μs", "λx", "wordж", "❤️\u200d🔥 hot", "a❤️\u200d🔥\u200db", "Δ t"]
+    got = {int(r["rec_id"]): r["unified"] for r in lookalikes.unify_records(records(spark, texts)).collect()}
+    assert [got[i] for i in (0, 1, 4, 5)] == ["Δt", "5 μs", "❤️\u200d🔥 hot", "a❤️\u200d🔥b"]
+    assert {int(r["rec_id"]) for r in lookalikes.found(records(spark, texts)).collect()} == {0, 1, 2, 3, 5}
+
+
 def test_languages(envelopes):
     said = {"en": "the small engine reads every line of the old book", "de": "der kleine Motor liest jede Zeile des alten Buches", "fr": "le petit moteur lit chaque ligne du vieux livre", "es": "el motor lee cada línea del libro viejo y pequeño", "vi": "động cơ nhỏ đọc từng dòng của cuốn sách cũ", "ru": "маленький мотор читает каждую строку старой книги", "hi": "छोटा यंत्र पुरानी किताब की हर पंक्ति पढता है", "ja": "小さな機械は古い本のすべての行を静かに読んでいる", "zh": "小小的机器安静地阅读着那本旧书里面的每一行文字内容"}
     judge = languages.Judge(said)
