@@ -3,18 +3,19 @@
 The set of a record is its different windows of 9 letters and digits. All windows have one global order,
 rare first: a sketch of counts over all records (``2**sketch_bits`` counters, so of bounded size) gives
 the rarity, the hash breaks ties; a poor sketch costs time, never a pair. That order is cut into
-fragments by hash, each record's prefix into segments, and each fragment counts the overlap of its
-segments on its own; the partial overlaps of a pair are summed.
+``fragments`` fragments by hash, each record's prefix into segments, and each fragment counts the overlap
+of its segments on its own; the partial overlaps of a pair are summed.
 
 Which pairs can be left out, exactly: of two sets of sizes ``nx <= ny`` with similarity ``>= t`` at least
 ``o = ceil(t / (1 + t) * (nx + ny))`` windows are shared, so their prefixes of ``n - ceil(t * n) + 1 +
 ext(n)`` windows share at least ``L = min(o - n + prefix(n))`` over both, and one of ``F`` fragments at
-least ``ceil(L / F)``. Inside a fragment this bounds sizes (by the place of a window in its segment),
-then the XOR of parity signatures bounds the overlap, then segments are intersected. What is left after
-summing is verified on the whole sets.
+least ``ceil(L / F)``. Inside a fragment the records are taken in bands of size; a band keeps only those
+windows behind which enough of their segment is left for some partner, then XOR of parity signatures
+bounds the overlap, then segments are intersected. What is left after summing is verified on the whole
+sets.
 
-Rows of the shuffle are blocks of many records' segments, so the shuffle holds about 5 bytes a prefix
-window; texts are fetched only for records with a candidate.
+How it spreads: see ``Plan``. Rows of the shuffle are blocks of many records' segments, so the shuffle
+holds about 5 bytes a prefix window; texts are fetched only for records with a candidate.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -37,14 +39,18 @@ THRESHOLD = 0.7
 MIN_CHARS = 150
 EXTRA = 0.1
 SKETCH_BITS = 22
+FRAGMENTS = 6
+GROUP_RECORDS = 250_000
+HOT = 100_000
 _SLICES = 64
 _BATCH = 500
-_BLOCK = 100_000
-_CHUNK = 300_000
-_WORDS = 4
-_LONG_WORDS = 32
+_BAND = 1.2
+_BAND_TOKENS = 400_000
+_CHUNK = 80_000
+_SHORT = 6
+_LONG = 32
+_MARK_BITS = 22
 _SKETCH_BUFFER = 6_000_000
-_FRAGMENT_RECORDS = 60_000
 
 
 @cache
@@ -105,25 +111,19 @@ def _keys(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.array([key_of(points[a:b]) for a, b in zip(edges[:-1], edges[1:])], np.int64).reshape(-1, 2)
 
 
-def members(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``harvest_id, batch_no, k1, k2`` of the records that take part."""
+SCANNED = "harvest_id string, k1 long, k2 long, slice int, slot int, counts binary"
 
-    def rows(batches):
-        for part, points, edges in _texts(batches, min_chars):
-            keys = _keys(points, edges)
-            yield pd.DataFrame({"harvest_id": part["harvest_id"], "batch_no": part["batch_no"], "k1": keys[:, 0], "k2": keys[:, 1]})
 
-    return records.mapInPandas(rows, "harvest_id string, batch_no int, k1 long, k2 long")
-
-
-def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each of ``2**bits`` counters the level of its count over all records (logarithmic, one byte)."""
+def scanned(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bits: int = SKETCH_BITS) -> DataFrame:
+    """One scan of the texts for two things: the key of each record that takes part, and a count sketch of each task's windows."""
     width = 1 << bits
 
     def rows(batches):
         counts = np.zeros(width, np.int64)
         waiting, held = [], 0
-        for _, points, _ in _texts(batches, min_chars):
+        for part, points, edges in _texts(batches, min_chars):
+            keys = _keys(points, edges)
+            yield pd.DataFrame({"harvest_id": part["harvest_id"], "k1": keys[:, 0], "k2": keys[:, 1], "slice": None, "slot": None, "counts": None})
             # the few windows over the edge of two records do not matter for rarity
             waiting.append((window_hashes(points, gram) >> np.uint64(64 - bits)).astype(np.int32))
             held += len(waiting[-1])
@@ -135,7 +135,18 @@ def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bit
         if counts.any():
             slot = int(counts[:: width // 64].sum()) % 16
             for s, own in enumerate(np.split(counts, _SLICES)):
-                yield pd.DataFrame({"slice": [s], "slot": [slot], "counts": [zlib.compress(own.astype(np.uint32).tobytes(), 1)]})
+                yield pd.DataFrame({"harvest_id": None, "k1": None, "k2": None, "slice": [s], "slot": [slot], "counts": [zlib.compress(own.astype(np.uint32).tobytes(), 1)]})
+
+    return records.mapInPandas(rows, SCANNED)
+
+
+def members(scan: DataFrame) -> DataFrame:
+    """``harvest_id, k1, k2`` of the records that take part."""
+    return scan.filter("counts IS NULL").select("harvest_id", "k1", "k2").distinct()
+
+
+def rarity(scan: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each of ``2**bits`` counters the level of its count over all records (logarithmic, one byte)."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in pdf["counts"])
@@ -143,10 +154,10 @@ def rarity(records: DataFrame, gram: int = GRAM, min_chars: int = MIN_CHARS, bit
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "slot": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, slot int, counts binary"
-    part = records.mapInPandas(rows, schema).groupBy("slice", "slot").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
-    level = part.mapInPandas(_levels, "slice int, level binary")
-    out = np.zeros((_SLICES, width // _SLICES), np.uint8)
-    for row in level.toLocalIterator():
+    part = scan.filter("counts IS NOT NULL").select("slice", "slot", "counts")
+    part = part.groupBy("slice", "slot").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    out = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint8)
+    for row in part.mapInPandas(_levels, "slice int, level binary").toLocalIterator():
         out[row["slice"]] = np.frombuffer(zlib.decompress(row["level"]), np.uint8)
     return out.reshape(-1)
 
@@ -170,8 +181,67 @@ def least_shared(nx, ny, threshold: float = THRESHOLD, extra: float = EXTRA):
     return np.minimum(need - nx + prefix_size(nx, threshold, extra)[0], need - ny + prefix_size(ny, threshold, extra)[0])
 
 
-def segments(records: DataFrame, levels, fragments: int, gram: int = GRAM, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``fragment, batches, keys, sizes, counts, tokens``: blocks of the records' prefix segments.
+SEGMENTS = "fragment int, part int, slice int, slices int, keys binary, sizes binary, counts binary, tokens binary"
+PARTIAL = "fragment int, ax long, bx long, ay long, by long, nx int, ny int, shared int"
+PAIR = ["ax", "bx", "ay", "by"]
+_HOT_BIT = np.uint32(1 << 31)
+
+
+def level_of(count: int) -> int:
+    return int(min(255, 6 * np.log2(1.0 + count)))
+
+
+def count_of(level: int) -> int:
+    return int(2 ** ((level + 1) / 6))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How the segments spread over groups, so that a group fits a task at any number of records.
+
+    There are always ``fragments`` fragments, so the bounds stay as sharp as they are. Where a fragment's
+    records would not fit a task, its tokens go to ``parts`` parts by hash, and a segment is sent to each
+    part that holds one of its tokens: at most as often as it has tokens, and not at all while there is
+    one part. A token that the sketch counts ``hot`` times or more has groups of its own, among which
+    the records are sliced: each slice holds all of them, but looks up only its own.
+    """
+
+    fragments: int = FRAGMENTS
+    parts: int = 1
+    hot: int = HOT
+
+    @staticmethod
+    def of(records: int, fragments: int = FRAGMENTS) -> Plan:
+        """For ``records`` records; a segment of about ten tokens goes to ten parts at most."""
+        return Plan(fragments, 1 if records <= GROUP_RECORDS else -(-10 * records // GROUP_RECORDS))
+
+    def groups(self, tokens: np.ndarray, owner: np.ndarray, level: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        """``(part, slice, slices), records`` of each group that segments go to."""
+        heavy = (tokens & _HOT_BIT) > 0
+        light, of = tokens[~heavy], owner[~heavy]
+        if self.parts == 1:
+            yield (0, 0, 1), np.unique(of)
+        else:
+            both = np.unique((light % np.uint32(self.parts)).astype(np.int64) << 32 | of)
+            part, of = both >> 32, both & 0xFFFFFFFF
+            for p in np.unique(part):
+                yield (int(p), 0, 1), of[part == p]
+        for t in np.unique(tokens[heavy]):
+            own = tokens == t
+            slices = -(-count_of(int(level[own][0])) // self.hot)
+            for s in range(slices):
+                yield (-1 - int(t ^ _HOT_BIT), s, slices), np.unique(owner[own])
+
+    def wanted(self, part: int, tokens: np.ndarray) -> np.ndarray:
+        """Which tokens of its segments a group looks up."""
+        if part < 0:
+            return tokens == (np.uint32(-1 - part) | _HOT_BIT)
+        light = (tokens & _HOT_BIT) == 0
+        return light & (tokens % np.uint32(self.parts) == part) if self.parts > 1 else light
+
+
+def segments(records: DataFrame, levels, plan: Plan, gram: int = GRAM, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``SEGMENTS``: blocks of the records' prefix segments, sent to the groups that need them.
 
     ``levels`` is a broadcast of ``rarity``. The tokens of a segment are in the global order.
     """
@@ -179,223 +249,242 @@ def segments(records: DataFrame, levels, fragments: int, gram: int = GRAM, thres
     def rows(batches):
         level = levels.value
         shift = np.uint64(64 - int(len(level)).bit_length() + 1)
+        heavy = level_of(plan.hot)
         for part, points, edges in _texts(batches, min_chars):
             if not len(part):
                 continue
             hashes = window_hashes(points, gram)
-            sets = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                h = np.sort(hashes[a : b - gram + 1])
-                sets.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+            sets = [_distinct(hashes[a : b - gram + 1]) for a, b in zip(edges[:-1], edges[1:])]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             counts = prefix_size(sizes, threshold)[0]
             ranks = level[(np.concatenate(sets) >> shift).astype(np.int64)]
             ends = np.cumsum(sizes)
             # a set is sorted, so a stable sort by level gives the global order
-            tokens = np.concatenate([h[np.argsort(ranks[e - len(h) : e], kind="stable")[:n]] for h, e, n in zip(sets, ends, counts)])
+            first = np.concatenate([e - len(h) + np.argsort(ranks[e - len(h) : e], kind="stable")[:n] for h, e, n in zip(sets, ends, counts)])
+            tokens, seen = np.concatenate(sets)[first], ranks[first]
             owner = np.repeat(np.arange(len(sets)), counts)
-            fragment = (tokens % np.uint64(fragments)).astype(np.int64)
+            fragment = (tokens % np.uint64(plan.fragments)).astype(np.int64)
             order = np.argsort(fragment, kind="stable")
-            tokens, owner = (tokens[order] // np.uint64(fragments)).astype(np.uint32), owner[order]
-            keys, lands, sizes = _keys(points, edges), part["batch_no"].to_numpy(np.int32), sizes.astype(np.int32)
-            cuts = np.searchsorted(fragment[order], np.arange(fragments + 1))
+            tokens, owner, seen = (tokens[order] // np.uint64(plan.fragments)).astype(np.uint32) & ~_HOT_BIT, owner[order], seen[order]
+            tokens[seen >= heavy] |= _HOT_BIT
+            keys, sizes = _keys(points, edges), sizes.astype(np.int32)
+            cuts = np.searchsorted(fragment[order], np.arange(plan.fragments + 1))
             out = []
-            for f in range(fragments):
-                own = tokens[cuts[f] : cuts[f + 1]]
-                n = np.bincount(owner[cuts[f] : cuts[f + 1]], minlength=len(sizes))
-                held = np.flatnonzero(n)
-                if len(held):
-                    out.append((f, lands[held].tobytes(), keys[held].tobytes(), sizes[held].tobytes(), n[held].astype(np.uint32).tobytes(), own.tobytes()))
-            yield pd.DataFrame(out, columns=["fragment", "batches", "keys", "sizes", "counts", "tokens"])
+            for f in range(plan.fragments):
+                own, of = tokens[cuts[f] : cuts[f + 1]], owner[cuts[f] : cuts[f + 1]]
+                n = np.bincount(of, minlength=len(sizes))
+                starts = np.cumsum(n) - n
+                for group, held in plan.groups(own, of, seen[cuts[f] : cuts[f + 1]]):
+                    if len(held):
+                        out.append((f, *group, keys[held].tobytes(), sizes[held].tobytes(), n[held].astype(np.uint32).tobytes(), own[_ranges(starts[held], n[held])].tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return records.mapInPandas(rows, SEGMENTS)
 
 
-SEGMENTS = "fragment int, batches binary, keys binary, sizes binary, counts binary, tokens binary"
-PARTIAL = "ax long, bx long, ay long, by long, nx int, ny int, batch_x int, batch_y int, shared int, least int"
-
-
-def _join(column: pd.Series, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind)
-
-
-def _signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> list[np.ndarray]:
-    """Per record the parity of its segment's tokens in ``_WORDS`` words of 64 bits."""
-    mixed = (tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    bit, word = np.uint64(1) << (mixed & np.uint64(63)), (mixed >> np.uint64(6)) % np.uint64(_WORDS)
-    edges = np.searchsorted(owner, np.arange(docs))
-    return [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), edges) if docs else bit for w in range(_WORDS)]
-
-
-def _long_signatures(tokens: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """Per record a row of ``_LONG_WORDS`` words of parity."""
-    mixed = (tokens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
-    out = np.zeros(docs * _LONG_WORDS, np.uint64)
-    np.bitwise_xor.at(out, owner * np.int64(_LONG_WORDS) + ((mixed >> np.uint64(6)) % np.uint64(_LONG_WORDS)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
-    return out.reshape(docs, _LONG_WORDS)
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``starts[i] ... starts[i] + lengths[i] - 1`` of all ``i``, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+class Side:
+    """The segments of one fragment, different keys only, in order of size (and key, so that all fragments agree)."""
+
+    def __init__(self, pdf: pd.DataFrame, plan: Plan, threshold: float, extra: float) -> None:
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        keys, sizes, counts = join("keys", np.int64).reshape(-1, 2), join("sizes", np.int32), join("counts", np.uint32).astype(np.int64)
+        order = np.lexsort((keys[:, 1], keys[:, 0], sizes))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        held = order[fresh]
+        starts = np.cumsum(counts) - counts
+        self.keys, self.sizes, self.counts = keys[held], sizes[held].astype(np.int64), counts[held]
+        self.tokens = join("tokens", np.uint32)[_ranges(starts[held], self.counts)]
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.owner = np.repeat(np.arange(len(held), dtype=np.int32), self.counts)
+        self.slope = prefix_size(self.sizes, threshold, extra)[0] - self.sizes
+        left = np.repeat(self.starts[1:], self.counts) - np.arange(len(self.owner))  # windows of the segment from here on
+        # what the windows from here on allow a partner to ask for, times the fragments
+        self.room = (left * plan.fragments - threshold / (1 + threshold) * self.sizes[self.owner]).astype(np.float32)
+        self._signatures: dict[int, np.ndarray] = {}
+
+    def signatures(self, words: int) -> np.ndarray:
+        """Per record the parity of its segment's tokens in ``words`` words of 64 bits."""
+        if words not in self._signatures:
+            mixed = (self.tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            out = np.zeros(len(self.sizes) * words, np.uint64)
+            np.bitwise_xor.at(out, self.owner * np.int64(words) + ((mixed >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+            self._signatures[words] = out.reshape(-1, words)
+        return self._signatures[words]
+
+
+def _likely(s: Side, t: Side, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Pairs whose long parity signatures differ in at most ``room`` places."""
+    ok = np.empty(len(x), bool)
+    one, two = s.signatures(_LONG), t.signatures(_LONG)
+    for at in range(0, len(x), 20_000):
+        i = slice(at, at + 20_000)
+        ok[i] = np.bitwise_count(one[x[i]] ^ two[y[i]]).sum(axis=1, dtype=np.int64) <= room[i]
+    return ok
 
 
-def fragment_pairs(pdf: pd.DataFrame, fragments: int, threshold: float = THRESHOLD, extra: float = EXTRA, by_batch: bool = False) -> pd.DataFrame:
-    """Partial overlaps of the pairs of one fragment that reach their share of the bound.
+def partial_overlaps(s: Side, t: Side, plan: Plan, threshold: float, extra: float, part: int = 0, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x, y, shared`` of the pairs of records of ``s`` and ``t`` whose segments share their part of the bound.
 
-    With a ``fresh`` column only pairs with a fresh record are counted; with ``by_batch`` only pairs of
-    different batches.
+    Where both are the same side each pair comes once, ``x`` before ``y``. ``role`` says which records
+    of ``t`` are looked up. ``t`` is taken in bands of records of like size, so the memory in use
+    does not follow the number of pairs.
     """
-    keys = _join(pdf["keys"], np.int64).reshape(-1, 2)
-    sizes, batches, counts = _join(pdf["sizes"], np.int32), _join(pdf["batches"], np.int32), _join(pdf["counts"], np.uint32).astype(np.int64)
-    tokens = _join(pdf["tokens"], np.uint32)
-    fresh = np.repeat(pdf["fresh"].to_numpy(bool), [len(s) // 4 for s in pdf["sizes"]]) if "fresh" in pdf else np.ones(len(sizes), bool)
-    # one record of each key: the one of the earliest batch; an old one before a fresh one
-    order = np.lexsort((batches, fresh, keys[:, 1], keys[:, 0]))
-    first = np.ones(len(order), bool)
-    first[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-    keep = np.zeros(len(order), bool)
-    keep[order[first]] = True
-    if by_batch:
-        # the same text may come from several batches; its earliest and its latest count
-        last = np.ones(len(order), bool)
-        last[:-1] = first[1:]
-        keep[order[last]] = True
-    # records in order of size, so that a posting list is in order of size too
-    held = np.flatnonzero(keep)
-    held = held[np.argsort(sizes[held], kind="stable")]
-    starts = np.cumsum(counts) - counts
-    counts, keys, sizes, batches, fresh = counts[held], keys[held], sizes[held].astype(np.int64), batches[held], fresh[held]
-    owner = np.repeat(np.arange(len(held), dtype=np.int32), counts)
-    behind = (np.repeat(np.cumsum(counts), counts) - np.arange(len(owner))).astype(np.int32)  # windows of the segment from here on
-    tokens = tokens[np.repeat(starts[held] + counts, counts) - behind]
-    sig = _signatures(tokens, owner, len(held))
-    ratio = threshold / (1 + threshold)
-    # the least overlap of the prefixes without its rounding up
-    slope = prefix_size(sizes, threshold, extra)[0] - sizes
+    same, ratio, parts = s is t, threshold / (1 + threshold), plan.fragments
+    slope_of = lambda n: prefix_size(n, threshold, extra)[0] - n
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    looked = plan.wanted(part, t.tokens)
+    asked = looked if same else plan.wanted(part, s.tokens)
+    if role is not None:
+        looked = looked & role[t.owner]
+    slack = np.float32(1 + 2.0**-21 * plan.fragments * max([1, *s.sizes[-1:], *t.sizes[-1:]]))
 
     def least(x, y):
-        need = ratio * (sizes[x] + sizes[y]) + np.minimum(slope[x], slope[y])
-        return np.maximum(1, np.ceil((need - 1e-6) / fragments)).astype(np.int32)
-
-    out = []
-    for xs, ys in ((None, None if fresh.all() else fresh), (fresh, ~fresh)):
-        if ys is not None and not ys.any() or xs is not None and (xs.all() or not xs.any()):
-            continue
-        px = np.arange(len(owner), dtype=np.int32) if xs is None else np.flatnonzero(xs[owner]).astype(np.int32)
-        posting = tokens[px].astype(np.int64) << 32 | owner[px]
-        order = np.argsort(posting)
-        px, posting = px[order], posting[order]
-        held_by, left_of = owner[px], behind[px]
-        size_of = sizes.astype(np.float32)[held_by]
-        del order
-        py = px if ys is None else np.flatnonzero(ys[owner]).astype(np.int32)
-        py = py if ys is None else py[np.argsort(tokens[py], kind="stable")]
-        for at in range(0, len(py), _BLOCK):
-            own = py[at : at + _BLOCK]
-            token = tokens[own].astype(np.int64)
-            lo, hi = np.searchsorted(posting, token << 32), np.searchsorted(posting, token + 1 << 32)
-            several = hi - lo > 1 if ys is None else hi > lo
-            own, lo, hi = own[several], lo[several], hi[several]
-            y = owner[own]
-            ny, left = sizes[y].astype(np.float64), behind[own]
-            base = slope[y] - 2
-            # a window at this place leaves only so many behind it, which bounds the size of x:
-            # y's own side of the least overlap is the smaller one where nx <= ny, but for rounding
-            top = np.minimum(ny, np.floor((left * fragments - base) / ratio - ny))
-            least_size = np.ceil(threshold * ny - 1e-9)
-            long = np.flatnonzero(hi - lo > 16)  # the sizes of a short list are compared one by one below
-            token = tokens[own[long]].astype(np.int64) << 32
-            high = np.minimum(y[long], np.searchsorted(sizes, top[long].astype(sizes.dtype), "right"))
-            lo[long] = np.searchsorted(posting, token | np.searchsorted(sizes, least_size[long].astype(sizes.dtype), "left"), "left")
-            hi[long] = np.searchsorted(posting, token | high, "left")
-            n = np.maximum(hi - lo, 0)
-            edges = np.concatenate([[0], np.cumsum(n)])
-            b = 0
-            while b < len(n):
-                e = max(b + 1, int(np.searchsorted(edges, edges[b] + _CHUNK, "right")) - 1)
-                total = int(edges[e] - edges[b])
-                if total:
-                    c = n[b:e]
-                    k = np.arange(total) + np.repeat(lo[b:e] - edges[b:e] + edges[b], c)
-                    nx, back = size_of[k], left_of[k]
-                    of = np.repeat(np.arange(b, e, dtype=np.int32), c)
-                    need = (ratio * (nx + ny[of]) + base[of]) / fragments
-                    ok = (back >= need) & (left[of] >= need) & (nx >= least_size[of])
-                    x, yy = held_by[k[ok]], y[of[ok]]
-                    ok = (x < yy) & (batches[x] != batches[yy]) if by_batch else x < yy
-                    x, yy = x[ok], yy[ok]
-                    # parity signatures bound the overlap from above
-                    room = counts[x] + counts[yy] - 2 * least(x, yy)
-                    for w in sig:
-                        room -= np.bitwise_count(w[x] ^ w[yy])
-                        ok = room >= 0
-                        x, yy, room = x[ok], yy[ok], room[ok]
-                    if len(x):
-                        out.append(_distinct(x.astype(np.int64) << 32 | yy))
-                b = e
-        del posting, px, py, held_by, left_of, size_of
+        need = np.ceil(ratio * (s.sizes[x] + t.sizes[y]) - 1e-9) + np.minimum(s.slope[x], t.slope[y])
+        return np.maximum(1, np.ceil(need / parts - 1e-9)).astype(np.int64)
+
+    def needed(slope, low, high):
+        """The least that a record of this slope asks of a window, over partners of sizes ``low`` to ``high``; rounding costs 2."""
+        return np.minimum(*(ratio * n + np.minimum(slope, slope_of(n)) for n in (low, high))) - 2 - slack
+
+    a = 0
+    while a < len(t.sizes):
+        b = min(int(np.searchsorted(t.sizes, max(t.sizes[a], int(_BAND * t.sizes[a])), "right")), int(np.searchsorted(t.starts, t.starts[a] + _BAND_TOKENS, "right")) - 1)
+        b = max(a + 1, b)
+        low, high = t.sizes[a], t.sizes[b - 1]
+        r0 = int(np.searchsorted(s.sizes, np.ceil(threshold * low - 1e-9)))
+        r1 = b if same else int(np.searchsorted(s.sizes, np.floor(high / threshold + 1e-9), "right"))
+        if r0 < r1:
+            p0, p1, q0, q1 = s.starts[r0], s.starts[r1], t.starts[a], t.starts[b]
+            of_s = s.owner[p0:p1]
+            mine = np.flatnonzero(asked[p0:p1] & (s.room[p0:p1] >= needed(s.slope[r0:r1], low, high).astype(np.float32)[of_s - r0])) + p0
+            of_t = t.owner[q0:q1]
+            theirs = np.flatnonzero(looked[q0:q1] & (t.room[q0:q1] >= needed(t.slope[a:b], s.sizes[r0], s.sizes[r1 - 1]).astype(np.float32)[of_t - a])) + q0
+            x, y = _meet(s, t, mine, theirs, same, parts, threshold, slack, a, b)
+            if len(x):
+                bound = least(x, y)
+                ok = _likely(s, t, x, y, s.counts[x] + t.counts[y] - 2 * bound)
+                x, y, bound = x[ok], y[ok], bound[ok]
+                shared = _overlaps(s, t, x, y)
+                ok = (shared >= bound) & (s.keys[x] != t.keys[y]).any(axis=1)
+                out.append((x[ok], y[ok], shared[ok]))
+        a = b
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _meet(s: Side, t: Side, mine: np.ndarray, theirs: np.ndarray, same: bool, parts: int, threshold: float, slack, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs that meet in one of the given windows with enough of both segments left."""
+    ratio = threshold / (1 + threshold)
+    posting = np.sort(s.tokens[mine].astype(np.uint64) << np.uint64(32) | mine.astype(np.uint64))
+    asking = np.sort(t.tokens[theirs].astype(np.uint64) << np.uint64(32) | theirs.astype(np.uint64))
+    token = (posting >> np.uint64(32)).astype(np.uint32)
+    wanted = (asking >> np.uint64(32)).astype(np.uint32)
+    lo, hi = np.searchsorted(token, wanted, "left"), np.searchsorted(token, wanted, "right")
+    several = hi - lo > (1 if same else 0)
+    at_t, lo, n = (asking[several] & np.uint64(0xFFFFFFFF)).astype(np.int64), lo[several], (hi - lo)[several]
+    at_s = (posting & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del posting, asking, token, wanted, hi
+    x_of, y_of = s.owner[at_s], t.owner[at_t]
+    room_s, size_s, slope_s = s.room[at_s], s.sizes.astype(np.float32)[x_of], s.slope.astype(np.float32)[x_of]
+    room_t, size_t, slope_t = t.room[at_t] + slack, t.sizes.astype(np.float32)[y_of], t.slope.astype(np.float32)[y_of]
+    ask_t, least_s = np.float32(ratio) * size_t - slack, np.float32(threshold) * size_t * np.float32(1 - 1e-6)
+    ask_s = np.float32(ratio) * size_s
+    held_s, held_t = s.counts.astype(np.float32)[x_of], t.counts.astype(np.float32)[y_of] + slack
+    share = np.float32(2 / parts)
+    words = [(s.signatures(_SHORT)[x_of, w], t.signatures(_SHORT)[y_of, w]) for w in range(_SHORT)]
+    width, out = b - a, []
+    edges = np.concatenate([[0], np.cumsum(n)])
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + _CHUNK, "right")) - 1)
+        for first in range(0, int(edges[j] - edges[i]), 4 * _CHUNK):  # a single long list is taken in parts
+            k = np.arange(first, min(first + 4 * _CHUNK, int(edges[j] - edges[i])))
+            of = np.searchsorted(edges[i : j + 1] - edges[i], k, "right") - 1 + i if j == i + 1 else np.repeat(np.arange(i, j), n[i:j])
+            k = k + (lo[of] - edges[of] + edges[i])
+            bend = np.minimum(slope_s[k], slope_t[of])
+            ok = (room_s[k] - bend >= ask_t[of]) & (room_t[of] - bend >= ask_s[k]) & (size_s[k] >= least_s[of])
+            if not same:
+                ok &= size_t[of] >= np.float32(threshold * (1 - 1e-6)) * size_s[k]
+            if same:
+                ok &= x_of[k] < y_of[of]
+            k, of, bend = k[ok], of[ok], bend[ok]
+            # a short parity signature beside each posting drops most pairs where they meet
+            room = held_s[k] + held_t[of] - share * (ask_s[k] + ask_t[of] + bend)
+            for w in range(0, _SHORT, 2):
+                room -= np.bitwise_count(words[w][0][k] ^ words[w][1][of])
+                room -= np.bitwise_count(words[w + 1][0][k] ^ words[w + 1][1][of])
+                ok = np.flatnonzero(room >= 0)
+                k, of, room = k[ok], of[ok], room[ok]
+            x, y = x_of[k].astype(np.int64), y_of[of].astype(np.int64)
+            if len(x):
+                out.append(x * width + (y - a))
+                if len(out) > 60:
+                    out = [_distinct(np.concatenate(out))]
+        i = j
     if not out:
-        return pd.DataFrame(columns=[c.split()[0] for c in PARTIAL.split(", ")])
-    pairs = _distinct(np.concatenate(out))
-    x, y = pairs >> 32, pairs & 0xFFFFFFFF
-    # of these few, long signatures leave hardly any pair that has too little
-    long = _long_signatures(tokens, owner, len(held))
-    room = counts[x] + counts[y] - 2 * least(x, y)
-    for at in range(0, len(x), 20_000):
-        part = slice(at, at + 20_000)
-        room[part] -= np.bitwise_count(long[x[part]] ^ long[y[part]]).sum(axis=1, dtype=np.int64)
-    del long
-    x, y = x[room >= 0], y[room >= 0]
-    shared = _overlaps(x, y, tokens, counts)
-    ok = (shared >= least(x, y)) & (keys[x] != keys[y]).any(axis=1)
-    x, y, shared = x[ok], y[ok], shared[ok]
-    return pd.DataFrame({
-        "ax": keys[x, 0], "bx": keys[x, 1], "ay": keys[y, 0], "by": keys[y, 1], "nx": sizes[x], "ny": sizes[y],
-        "batch_x": batches[x], "batch_y": batches[y], "shared": shared, "least": least(x, y),
-    })
-
-
-def _overlaps(x: np.ndarray, y: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shared tokens of the segments of each pair; pairs are in order of ``x``, whose tokens are marked once for all its partners."""
-    if not len(x):
-        return np.zeros(0, np.int32)
-    order = np.argsort(tokens, kind="stable")
-    fresh = np.concatenate([[False], tokens[order][1:] != tokens[order][:-1]])
-    ids = np.empty(len(tokens), np.int32)
-    ids[order] = np.cumsum(fresh)
-    begin = np.cumsum(counts) - counts
-    marked = np.zeros(int(ids.max()) + 1, bool)
-    shared = np.zeros(len(x), np.int32)
-    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
-    for a, b in zip(edges[:-1], edges[1:]):
-        own = ids[begin[x[a]] : begin[x[a]] + counts[x[a]]]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.divmod(_distinct(np.concatenate(out)), width)
+    return x, y + a
+
+
+def _overlaps(s: Side, t: Side, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shared tokens of the segments of each pair, at times too many: the tokens of each ``y`` are marked once for all its partners."""
+    marked = np.zeros(1 << _MARK_BITS, bool)
+    slot = lambda tokens: (tokens * np.uint32(0x9E3779B1)) >> np.uint32(32 - _MARK_BITS)
+    shared = np.zeros(len(x), np.int64)
+    order = np.argsort(y, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], y[order][1:] != y[order][:-1], [True]])) if len(y) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        own = slot(t.tokens[t.starts[y[order[i]]] : t.starts[y[order[i]] + 1]])
         marked[own] = True
-        for at in range(a, b, 20_000):  # a record with many partners is done in parts
-            others = y[at : min(b, at + 20_000)]
-            c = counts[others]
-            stops = np.cumsum(c)
-            k = np.arange(stops[-1]) + np.repeat(begin[others] - stops + c, c)
-            shared[at : at + len(others)] = np.add.reduceat(marked[ids[k]], stops - c, dtype=np.int32)
+        for at in range(i, j, 20_000):  # a record with many partners is done in parts
+            pick = order[at : min(j, at + 20_000)]
+            c = s.counts[x[pick]]
+            shared[pick] = np.add.reduceat(marked[slot(s.tokens[_ranges(s.starts[x[pick]], c)])], np.cumsum(c) - c, dtype=np.int64)
         marked[own] = False
     return shared
 
 
-PAIR = ["ax", "bx", "ay", "by"]
-
+def partial_rows(s: Side, t: Side, found: tuple[np.ndarray, np.ndarray, np.ndarray], fragment: int) -> pd.DataFrame:
+    x, y, shared = found
+    return pd.DataFrame({
+        "fragment": np.full(len(x), fragment), "ax": s.keys[x, 0], "bx": s.keys[x, 1], "ay": t.keys[y, 0], "by": t.keys[y, 1], "nx": s.sizes[x], "ny": t.sizes[y], "shared": shared,
+    })
 
-def candidates(blocks: DataFrame, fragments: int, threshold: float = THRESHOLD, extra: float = EXTRA, by_batch: bool = False) -> DataFrame:
-    """``ax, bx, ay, by``: the pairs of keys whose summed partial overlaps can reach the bound."""
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fragment_pairs(pdf, fragments, threshold, extra, by_batch)
+def summed(partial: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra: float = EXTRA) -> DataFrame:
+    """``ax, bx, ay, by``: the pairs whose partial overlaps, one of each fragment, sum up to what can reach the bound."""
 
-    def enough(shared: pd.Series, held: pd.Series, least: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
+    def enough(shared: pd.Series, held: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
+        need = least_shared(nx.to_numpy(), ny.to_numpy(), threshold, extra)
         # fragments that did not report the pair hold less than their share
-        return shared + (fragments - held) * (least - 1) >= least_shared(nx.to_numpy(), ny.to_numpy(), threshold, extra)
+        return shared + (plan.fragments - held) * (np.maximum(1, -(-need // plan.fragments)) - 1) >= need
 
-    # a partition for few fragments each, which nothing merges again: a fragment is long work on little data
-    partial = blocks.repartition(4 * fragments, "fragment").groupBy("fragment").applyInPandas(count, PARTIAL)
-    # a pair may come from a fragment once for each of its batches
-    once = partial.groupBy(*PAIR, "nx", "ny", "least", "batch_x", "batch_y").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("held"))
-    summed = once.groupBy(*PAIR, "nx", "ny", "least").agg(F.max("shared").alias("shared"), F.max("held").alias("held"))
-    check = F.pandas_udf(enough, "boolean")
-    return summed.filter(check("shared", "held", "least", "nx", "ny")).select(*PAIR)
+    # several parts of a fragment may report a pair, each with the same overlap
+    own = [F.max(F.when(F.col("fragment") == f, F.col("shared"))) for f in range(plan.fragments)]
+    total, held = (sum((f(c) for c in own[1:]), f(own[0])) for f in (lambda c: F.coalesce(c, F.lit(0)), lambda c: F.when(c.isNull(), 0).otherwise(1)))
+    pairs = partial.groupBy(*PAIR, "nx", "ny").agg(total.alias("shared"), held.alias("held"))
+    return pairs.filter(F.pandas_udf(enough, "boolean")("shared", "held", "nx", "ny")).select(*PAIR)
+
+
+def candidates(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra: float = EXTRA) -> DataFrame:
+    """``ax, bx, ay, by``: the pairs of keys, among all, whose summed partial overlaps can reach the bound."""
+
+    def count(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fragment, part, own, slices = (int(g) for g in group)
+        side = Side(pdf, plan, threshold, extra)
+        role = None if slices == 1 else (side.keys[:, 0] % slices) == own
+        return partial_rows(side, side, partial_overlaps(side, side, plan, threshold, extra, part, role), fragment)
+
+    # a partition for few groups each, which nothing merges again: a group is long work on little data
+    spread = blocks.repartition(min(4 * plan.fragments * plan.parts, 4000), "fragment", "part", "slice")
+    return summed(spread.groupBy("fragment", "part", "slice", "slices").applyInPandas(count, PARTIAL), plan, threshold, extra)
 
 
 def verified(pairs: DataFrame, members_: DataFrame, records: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -423,9 +512,3 @@ def verified(pairs: DataFrame, members_: DataFrame, records: DataFrame, gram: in
     return joined.mapInPandas(overlap, "ax long, bx long, ay long, by long, shared long, union long")
 
 
-def fragment_count(records: DataFrame) -> int:
-    """As many fragments as keep the segments of one in a task's memory, at least 6.
-
-    Fewer fragments give longer segments, so sharper bounds; more give more and smaller tasks.
-    """
-    return max(6, -(-records.count() // _FRAGMENT_RECORDS))
