@@ -28,10 +28,12 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's own setting, else a local one for tests."""
+    """The folder all executors share: the cluster's own setting, else, with a local master only, one for tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-lodestream-"))
     return named or sc.getCheckpointDir()
 
@@ -48,6 +50,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder an operator wrote, on whatever file system it lies."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if its counted size allows it; otherwise leave the join to shuffle.
 
