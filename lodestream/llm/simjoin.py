@@ -487,12 +487,30 @@ def candidates(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extr
     return summed(spread.groupBy("fragment", "part", "slice", "slices").applyInPandas(count, PARTIAL), plan, threshold, extra)
 
 
-def verified(pairs: DataFrame, members_: DataFrame, records: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+def alike(threshold: float = THRESHOLD, gram: int = GRAM):
+    """The ``harvest_id`` of the rows whose texts ``tx`` and ``ty`` are similar enough."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known: dict[str, np.ndarray] = {}
+            keep = []
+            for own, tx, ty in zip(pdf["harvest_id"], pdf["tx"], pdf["ty"]):
+                if own not in known:
+                    known[own] = _set_of_text(tx, gram)
+                x, y = known[own], _set_of_text(ty, gram)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
+            yield pdf.loc[keep, ["harvest_id"]]
+
+    return rows
+
+
+def _set_of_text(t, gram: int) -> np.ndarray:
+    return set_of(np.concatenate([squashed(t["title"] or ""), squashed(t["content"] or "")]), gram)
+
+
+def verified(pairs: DataFrame, x_texts: DataFrame, y_texts: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """``ax, bx, ay, by, shared, union`` of the pairs whose whole sets are similar enough."""
-    involved = pairs.select(F.col("ax").alias("k1"), F.col("bx").alias("k2")).union(pairs.select("ay", "by")).distinct()
-    one = members_.join(involved, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("harvest_id").alias("harvest_id"))
-    texts = cut(records.select("harvest_id", "title", "content").join(small_side(cut(one)), "harvest_id").dropDuplicates(["k1", "k2"]).select("k1", "k2", "title", "content"))
-    side = lambda s: texts.select(F.col("k1").alias("a" + s), F.col("k2").alias("b" + s), F.struct("title", "content").alias("t" + s))
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -501,14 +519,13 @@ def verified(pairs: DataFrame, members_: DataFrame, records: DataFrame, gram: in
             for i, (ax, bx, ay, by, tx, ty) in enumerate(zip(*(pdf[c] for c in (*PAIR, "tx", "ty")))):
                 for key, t in (((ax, bx), tx), ((ay, by), ty)):
                     if key not in known:
-                        known[key] = set_of(np.concatenate([squashed(t["title"] or ""), squashed(t["content"] or "")]), gram)
+                        known[key] = _set_of_text(t, gram)
                 x, y = known[ax, bx], known[ay, by]
                 shared[i] = len(np.intersect1d(x, y, assume_unique=True))
                 size[i] = len(x) + len(y) - shared[i]
             own = pdf[PAIR].assign(shared=shared, union=size)
             yield own[own["shared"] >= threshold * own["union"] - 1e-9]
 
-    joined = pairs.join(side("x"), ["ax", "bx"]).join(side("y"), ["ay", "by"]).select(*PAIR, "tx", "ty")
+    side = lambda t, s: t.select(F.col("k1").alias("a" + s), F.col("k2").alias("b" + s), F.struct("title", "content").alias("t" + s))
+    joined = pairs.join(side(x_texts, "x"), ["ax", "bx"]).join(side(y_texts, "y"), ["ay", "by"]).select(*PAIR, "tx", "ty")
     return joined.mapInPandas(overlap, "ax long, bx long, ay long, by long, shared long, union long")
-
-
