@@ -1,14 +1,15 @@
 """Problem 4: visually identical text brought to one form.
 
 Texts are first searched for anything that could differ unseen (one character-class search each); of
-those that hold something, the words and odd spaces are taken apart, mapped by look-alike tables, and
-the distinct mapped values are grouped in SQL under the accent-sensitive ``UNICODE`` collation. The
-smallest member of each class, by code points, is its canonical form and is joined back.
-
-The mapping takes compatibility letters and digits to their plain ones, composes letters with their
-marks, drops invisible format characters (but for joiners between two emoji), makes every space the
-plain one and gives words that mix Latin with Cyrillic or Greek the script of most of their letters.
-A word without any of these is its own mapped value, so clean texts come out as they are.
+those that hold something, the words and odd spaces are taken apart and mapped. A word is mapped to its
+plain letters: compatibility letters and digits to their plain ones, letters composed with their marks,
+invisible format characters dropped (but for joiners between two emoji), every space the plain one. A word
+that mixes Latin with letters of another script is mapped further, to a skeleton in which look-alike
+letters of all scripts are the same. The mapped values are grouped in SQL under the accent-sensitive
+``UNICODE`` collation; words of one script that occur anywhere in the corpus and have the skeleton of a
+mixed word are members of its class. The canonical member of a class is, of these plain words, the one
+with most occurrences, else the smallest that can be written in one script, else the word as it is
+(``SQL`` run into a Russian word stays, though it is reported); it is joined back.
 
 Defined results: null stays null, empty stays empty, tabs and line breaks stay; copies of a record come
 out once; an empty table gives no rows.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata as ud
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,20 +28,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import cut
+from lodestream.session import cut, small_side
 
-# Letters that look alike, Cyrillic or Greek and Latin.
+# Letters that look alike, of other scripts and of Latin.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеіјорсухѕԁԛԝһӏ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTYXaeijopcyxsdqwhl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικυρ"
 GREEK_LATIN = "ABEZHIKMNOPTYXoavikup"
-
-_TO_LATIN = str.maketrans(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN)
-_TO_CYRILLIC = str.maketrans(CYRILLIC_LATIN, CYRILLIC)
-_TO_GREEK = str.maketrans(GREEK_LATIN, GREEK)
+ARMENIAN = "ՕՏՍԼօոսհցզ"
+ARMENIAN_LATIN = "OSULonuhgq"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ"
+CHEROKEE_LATIN = "ABCDEGHJKLMPRSTVWZ"
+
+OTHERS, OTHERS_LATIN = CYRILLIC + GREEK + ARMENIAN + CHEROKEE, CYRILLIC_LATIN + GREEK_LATIN + ARMENIAN_LATIN + CHEROKEE_LATIN
+_TO_LATIN = str.maketrans(OTHERS, OTHERS_LATIN)
+_FROM_LATIN = [str.maketrans(latin, own) for latin, own in ((CYRILLIC_LATIN, CYRILLIC), (GREEK_LATIN, GREEK), (ARMENIAN_LATIN, ARMENIAN), (CHEROKEE_LATIN, CHEROKEE))]
 _JOINER = regex.compile(r"(?<=[\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF])‍(?=\p{Extended_Pictographic})")
 _FORMAT = regex.compile(r"\p{Cf}")
-_LATIN, _CYRILLIC, _GREEK = (regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+_OF_SCRIPT = [regex.compile(rf"[^\p{{L}}]|\p{{{s}}}") for s in _SCRIPTS]
+_ALSO_MIXED = regex.compile(r"(?=\p{L})(?:\p{Latin}\p{L}*?[\p{Armenian}\p{Cherokee}&&\p{L}]|[\p{Armenian}\p{Cherokee}&&\p{L}]\p{L}*?\p{Latin})", regex.V1)
+_ALSO = re.compile("[\u0530-\u058f\u13a0-\u13ff\uab70-\uabbf]")
 _MIXED = regex.compile(r"(?=\p{L})(?:\p{Latin}\p{L}*?[\p{Cyrillic}\p{Greek}&&\p{L}]|[\p{Cyrillic}\p{Greek}&&\p{L}]\p{L}*?\p{Latin})", regex.V1)
 _UNIT = regex.compile(r"(?:[\p{L}\p{M}\p{N}]|\p{Cf})+|\p{Zs}")
 
@@ -84,7 +91,13 @@ def is_suspect(text: str) -> bool:
     if text.isascii():
         return False
     _, odd, other = tables()
-    return bool(odd.search(text)) or bool(other.search(text) and _MIXED.search(text))
+    return bool(odd.search(text)) or is_mixed(text)
+
+
+def is_mixed(text: str) -> bool:
+    """Whether a word mixes Latin letters with those of another script that has look-alikes."""
+    other = tables()[2]
+    return bool(other.search(text) and _MIXED.search(text)) or bool(_ALSO.search(text) and _ALSO_MIXED.search(text))
 
 
 def holds_odd(text: str) -> bool:
@@ -116,17 +129,26 @@ def holds_odd(text: str) -> bool:
     return bool(other.search(text) and _MIXED.search(text))
 
 
-def map_unit(unit: str) -> str:
-    """The look-alike mapping of one word or space."""
+def map_unit(unit: str) -> tuple[str, str, int]:
+    """Of one word or space: what it is grouped by, the form it may take, and the rank of that form among its class.
+
+    Rank 0 is a word of one script, which is its own form; a mixed word has rank 2 where look-alikes can
+    write it in one script, else 3 (rank 1 is a plain word of the corpus).
+    """
     if unit.isspace():
-        return " "
-    plain = tables()[0]
-    word = ud.normalize("NFC", _FORMAT.sub("", unit).translate(plain))
-    if _MIXED.search(word):
-        share = Counter({"l": len(_LATIN.findall(word)), "c": len(_CYRILLIC.findall(word)), "g": len(_GREEK.findall(word))})
-        most = max(share, key=lambda s: (share[s], s == "l"))
-        word = word.translate({"l": _TO_LATIN, "c": _TO_CYRILLIC, "g": _TO_GREEK}[most])
-    return word
+        return " ", " ", 0
+    word = ud.normalize("NFC", _FORMAT.sub("", unit).translate(tables()[0]))
+    if not is_mixed(word):
+        return word, word, 0
+    for table in (_TO_LATIN, *_FROM_LATIN):
+        form = word.translate(table)
+        if one_script(form):
+            return word.translate(_TO_LATIN), form, 2
+    return word.translate(_TO_LATIN), word, 3
+
+
+def one_script(word: str) -> bool:
+    return any(all(map(p.match, word)) for p in _OF_SCRIPT)
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -156,7 +178,8 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         values = sorted({t[a:b] for t in pdf["text"] for a, b in units(t) if is_suspect(t[a:b])})
-        yield pd.DataFrame({"value": values, "mapped": [map_unit(v) for v in values]}, dtype=object)
+        rows = [(v, *map_unit(v)) for v in values]
+        yield pd.DataFrame(rows, columns=["value", "mapped", "form", "rank"])
 
 
 def suspects(records: DataFrame) -> DataFrame:
@@ -164,17 +187,31 @@ def suspects(records: DataFrame) -> DataFrame:
     return records.select("rec_kind", "rec_id", "text").mapInPandas(_suspects, "rec_kind string, rec_id string, text string")
 
 
-def canonical_values(odd: DataFrame) -> DataFrame:
+def plain_words(records: DataFrame, mapped: DataFrame) -> DataFrame:
+    """``mapped, form, n``: words of the corpus that share a skeleton of ``mapped``, with their number."""
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("form")
+    words = records.select(word).withColumn("mapped", F.translate("form", OTHERS, OTHERS_LATIN))
+    return words.join(small_side(mapped), "mapped", "left_semi").groupBy("mapped", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical_values(odd: DataFrame, records: DataFrame) -> DataFrame:
     """``value, canonical``: each odd word or space of the texts and the form it takes."""
-    values = odd.select("text").mapInPandas(_unit_rows, "value string, mapped string").distinct()
-    values.createOrReplaceTempView("lookalike_values")
-    classes = values.sparkSession.sql(
-        """
-        SELECT collate(mapped, 'UNICODE') AS class, min(collate(mapped, 'UTF8_BINARY')) AS canonical
-        FROM lookalike_values GROUP BY collate(mapped, 'UNICODE')
+    values = cut(odd.select("text").mapInPandas(_unit_rows, "value string, mapped string, form string, rank int").distinct())
+    mixed = values.filter("rank >= 2").select("mapped").distinct()
+    plain = plain_words(records, mixed).join(values.filter("rank >= 2").select(F.col("value").alias("form")), "form", "left_anti")
+    return values.sparkSession.sql(
         """
+        WITH members AS (
+            SELECT rank >= 2 AS mixed, collate(mapped, 'UNICODE') AS class, form, rank, 0 AS n FROM {values}
+            UNION ALL SELECT true, collate(mapped, 'UNICODE'), form, 1, -n FROM {plain}
+        ), classes AS (
+            SELECT mixed, class, min_by(form, struct(rank, n, form)) AS canonical FROM members GROUP BY mixed, class
+        )
+        SELECT v.value, c.canonical FROM {values} v JOIN classes c ON collate(v.mapped, 'UNICODE') = c.class AND (v.rank >= 2) = c.mixed
+        """,
+        values=values,
+        plain=plain,
     )
-    return values.join(classes, F.collate(F.col("mapped"), "UNICODE") == F.col("class")).select("value", F.collate("canonical", "UTF8_BINARY").alias("canonical"))
 
 
 def _located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +241,7 @@ def unified(records: DataFrame) -> DataFrame:
     """``rec_kind, rec_id, text, unified, odd`` of the records that change or meet the problem's exact condition (``odd``), each once."""
     check, rebuild = F.pandas_udf(_odd, "boolean"), F.pandas_udf(_rebuild, "string")
     odd = cut(suspects(records).distinct().withColumn("tid", F.xxhash64("text")).withColumn("odd", check("text")))
-    new = odd.mapInPandas(_located, "rec_kind string, rec_id string, tid long, value string").join(canonical_values(odd), "value").filter(F.col("value") != F.col("canonical"))
+    new = odd.mapInPandas(_located, "rec_kind string, rec_id string, tid long, value string").join(canonical_values(odd, records), "value").filter(F.col("value") != F.col("canonical"))
     changes = new.groupBy(*_KEY).agg(F.collect_list(F.struct("value", "canonical")).alias("changes"))
     return odd.join(changes, _KEY, "left").filter(F.col("odd") | F.col("changes").isNotNull()).select("rec_kind", "rec_id", "text", rebuild("text", "changes").alias("unified"), "odd")
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from lodestream.llm import history, leakage, neardup, simjoin
 
 
@@ -40,26 +43,35 @@ def test_pairs_equal_brute_force(spark, envelopes):
     assert neardup.pairs(envelopes([])).count() == 0
 
 
-def test_fragments_lose_nothing(spark):
-    """Candidates of any number of fragments hold every similar pair."""
-    import pandas as pd
+def similar_keys(texts):
+    key = [simjoin.key_of(simjoin.squashed(t)) for t in texts]
+    want = brute({f"{i:03}": t for i, t in enumerate(texts)})
+    return {frozenset((key[int(a)], key[int(b)])) for a, b in want if key[int(a)] != key[int(b)]}
+
+
+def records_of(spark, texts):
+    return spark.createDataFrame([(str(i), "", t) for i, t in enumerate(texts)], "harvest_id string, title string, content string")
 
+
+@pytest.mark.parametrize("fragments, parts, hot", [(1, 1, 10**6), (3, 4, 10**6), (2, 1, 6), (40, 3, 4)])
+def test_fragments_lose_nothing(spark, fragments, parts, hot):
+    """Candidates of any number of fragments, parts and slices of hot tokens hold every similar pair."""
     texts = corpus(9, 90)
-    df = pd.DataFrame({"harvest_id": [str(i) for i in range(len(texts))], "batch_no": 0, "title": "", "content": texts})
-    want = brute({f"{i:03}": t for i, t in enumerate(texts)})
-    key = [simjoin.key_of(simjoin.squashed(t)) for t in texts]
-    want = {frozenset((key[int(a)], key[int(b)])) for a, b in want if key[int(a)] != key[int(b)]}
-    levels = spark.sparkContext.broadcast(simjoin.rarity(spark.createDataFrame(df), bits=12))
-    for fragments in (1, 3, 40):
-        blocks = simjoin.segments(spark.createDataFrame(df), levels, fragments)
-        got = simjoin.candidates(blocks, fragments).collect()
-        assert want <= {frozenset(((r["ax"], r["bx"]), (r["ay"], r["by"]))) for r in got}
+    records = records_of(spark, texts)
+    levels = spark.sparkContext.broadcast(simjoin.rarity(simjoin.scanned(records, bits=12), bits=12))
+    plan = simjoin.Plan(fragments, parts, hot)
+    blocks = simjoin.segments(records, levels, plan)
+    assert parts == 1 or blocks.select("part").distinct().count() > 1
+    assert hot > 10 or blocks.filter("slices > 1").count() > 0
+    got = simjoin.candidates(blocks, plan).collect()
+    assert similar_keys(texts) <= {frozenset(((r["ax"], r["bx"]), (r["ay"], r["by"]))) for r in got}
 
 
-def test_history_in_any_landings(spark, envelopes):
+def history_rows():
     texts = corpus(4, 45)
     url = lambda i: f"https://www.video.example/watch?v={i % 40}&t=0s" if i % 2 else f"http://m.Video.example/watch/?ref=x&t=0s&v={i % 40}#c"
-    rows = [(f"h{i:03}", "s", i % 6, url(i), "", t, None) for i, t in enumerate(texts)] + [("s1", "s", 0, None, None, "tiny", None), ("s2", "s", 3, "", None, None, None)]
+    rows = [(f"h{i:03}", "s", i % 9, url(i), "", t, None) for i, t in enumerate(texts)] + [("s1", "s", 0, None, None, "tiny", None), ("s2", "s", 3, "", None, None, None)]
+    rows += [("c1", "s", 5, None, "", texts[2].upper(), None), ("c2", "s", 7, None, "", texts[2].upper(), None), rows[3]]
     batch = {r[0]: r[2] for r in rows}
     want = set()
     for a, b in brute({r[0]: r[5] for r in rows if r[5] and len(r[5]) > 20}):
@@ -67,10 +79,32 @@ def test_history_in_any_landings(spark, envelopes):
             want.add(a if batch[a] > batch[b] else b)
     first = {}
     for i in range(len(texts)):
-        first[i % 40] = min(first.get(i % 40, 9), i % 6)
-    want |= {f"h{i:03}" for i in range(len(texts)) if first[i % 40] < i % 6}
-    for landings in ([(0, 5)], [(0, 1), (2, 3), (4, 5)]):
-        assert {r["harvest_id"] for r in history.replay(envelopes(rows), landings).collect()} == want
+        first[i % 40] = min(first.get(i % 40, 9), i % 9)
+    want |= {f"h{i:03}" for i in range(len(texts)) if first[i % 40] < i % 9}
+    return rows, want
+
+
+@pytest.mark.parametrize("probe", [50_000, 0])
+def test_history_batch_by_batch(spark, envelopes, monkeypatch, probe):
+    """Nine landings, with merges and a new order between them; probes broadcast or joined by fragment."""
+    monkeypatch.setattr(history, "PROBE_RECORDS", probe)
+    monkeypatch.setattr(history, "REORDER", 3)
+    monkeypatch.setattr(history, "FAN", 3)
+    rows, want = history_rows()
+    assert {r["harvest_id"] for r in history.found(envelopes(rows)).collect()} == want and len(want) > 15
+    assert history.found(envelopes([])).count() == 0
+
+
+def test_a_landing_reads_no_more_than_it_needs(spark, envelopes, tmp_path):
+    """What a landing has in the index stays as few parts; merged ones are gone from the folder."""
+    rows, _ = history_rows()
+    index = history.HistoryIndex(spark, str(tmp_path))
+    landed = history.arrivals(envelopes(rows))
+    for b in range(9):
+        index.land(landed.filter(f"batch_no = {b}"))
+    assert len(index.items.parts) == len(list((tmp_path / "items").iterdir())) == 4  # six merged into one, and three
+    index.drop()
+    assert not tmp_path.exists()
 
 
 def test_addresses(spark):
@@ -107,22 +141,19 @@ def test_alignment_equals_the_plain_recurrence():
 
 def test_partial_overlaps_equal_brute_force(spark):
     """A fragment reports exactly the pairs whose partial overlap reaches its share of the bound."""
-    import numpy as np
-    import pandas as pd
-
     texts = corpus(11, 90)
-    df = spark.createDataFrame(pd.DataFrame({"harvest_id": [str(i) for i in range(len(texts))], "batch_no": 0, "title": "", "content": texts}))
-    levels = spark.sparkContext.broadcast(simjoin.rarity(df, bits=12))
-    blocks = simjoin.segments(df, levels, 3).toPandas()
-    for _, own in blocks.groupby("fragment"):
-        keys, sizes, counts = simjoin._join(own["keys"], np.int64).reshape(-1, 2), simjoin._join(own["sizes"], np.int32), simjoin._join(own["counts"], np.uint32).astype(int)
-        tokens, ends = simjoin._join(own["tokens"], np.uint32), np.cumsum(counts)
-        sets = {tuple(k): (int(n), set(tokens[e - c : e].tolist())) for k, n, c, e in zip(keys.tolist(), sizes, counts, ends)}
+    records = records_of(spark, texts)
+    levels = spark.sparkContext.broadcast(simjoin.rarity(simjoin.scanned(records, bits=12), bits=12))
+    plan = simjoin.Plan(3)
+    blocks = simjoin.segments(records, levels, plan).toPandas()
+    for f, own in blocks.groupby("fragment"):
+        side = simjoin.Side(own, plan, 0.7, 0.1)
+        sets = {tuple(k): (int(n), set(side.tokens[a:b].tolist())) for k, n, a, b in zip(side.keys.tolist(), side.sizes, side.starts[:-1], side.starts[1:])}
         want = {}
         for a in sets:
             for b in sets:
                 (na, sa), (nb, sb) = sets[a], sets[b]
                 if a < b and min(na, nb) >= 0.7 * max(na, nb) - 1e-9 and 3 * len(sa & sb) >= max(1, int(simjoin.least_shared(np.array(na), np.array(nb)))):
                     want[frozenset((a, b))] = len(sa & sb)
-        got = simjoin.fragment_pairs(own, 3)
-        assert {frozenset(((r.ax, r.bx), (r.ay, r.by))): r.shared for r in got.itertuples()} == want and len(want) > 20
+        found = simjoin.partial_rows(side, side, simjoin.partial_overlaps(side, side, plan, 0.7, 0.1), f)
+        assert {frozenset(((r.ax, r.bx), (r.ay, r.by))): r.shared for r in found.itertuples()} == want and len(want) > 20
