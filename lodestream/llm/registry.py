@@ -89,6 +89,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.found(table(spark, d, "documents"))
 
 
+def p10_unmarked(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), unmarked=True).select("doc_id", "unit_no", "start_pos", "end_pos")
+
+
 def p10_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 

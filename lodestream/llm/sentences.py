@@ -1,26 +1,36 @@
 """Problem 10: sentence units in nine languages.
 
-A text is cut at its line breaks; within a line the marks that may end a sentence form a lattice with
-two readings each, *end* or *inside*. In spaced scripts the reading follows from what stands around the
-mark: abbreviations, initials, numbers, dates, ellipses, and the quotation or bracket it stands in or
-closes. In scripts without spaces the words around the gap come from a dictionary word lattice, and the
-gap is read by final particles before and opening words behind it. The path through the lattice lets no
-unit be without a letter or digit: such a piece joins the unit before it, or the one after it where it
-is the first of its line.
+A text is cut at its line breaks. Within a line the marks that may end a sentence form a lattice: each
+mark has two readings, *end* and *inside*, with costs, a path is a choice for every mark, and the
+cheapest path gives the units. In spaced scripts the costs follow from what stands around the mark:
+abbreviations, initials, numbers, dates, ellipses, and the quotation or bracket it stands in or closes.
+In scripts without spaces the words around the gap come from a dictionary word lattice, and the gap is
+classified by final particles before and opening words behind it. The dictionary is learned from all
+documents, as a Spark aggregate: how often each run of up to four characters occurs, and how often it opens
+or closes a clause; closed-class words are fixed values.
+
+By the problem's statement a line without sentence marks is one unit. ``sentence_units`` can also cut at
+gaps without marks, where the word before closes and the word behind opens a sentence (``unmarked``).
 
 Defined results: null, empty and blank texts and lines without letters or digits give no units; a line
-without marks is one unit; repeated rows give their units once; an empty table gives no rows.
+without marks is one unit; repeated rows give repeated units, of which ``found`` keeps one; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Abbreviations that never end a sentence.
 NEVER = frozenset(
@@ -46,17 +56,21 @@ MONTHS = frozenset(
     january february march may june july october december
     """.split()
 )
-# The dictionary of the word lattice, by what a word at a gap says.
+# Closed-class words at a gap: what goes on behind a quotation, verbs of speech, words that open or close a sentence.
 FOLLOWS_JA = "と って という といった といって とは などと などの だと の は が を に も で へ や から まで より".split()
-FOLLOWS_ZH = "却 但 但是 可是 而 而且 就 便 也 还 并 并且 后 之后 的 地 得 四个大字 几个字 这句话 一句".split()
+FOLLOWS_ZH = "却 但 但是 可是 而 而且 就 便 也 还 并 并且 后 之后 的 地 得 几个字 这句话 一句".split()
 SPEECH_ZH = "说 问 喊 叫 笑 道 答 嚷 写 连喊 大喊 高喊 喊道 说道 问道 回答".split()
 SPEECH_HI = "चिल्ला कह पूछ बोल हंस हँस पुकार लिख".split()
-OPENERS_ZH = "这个 那个 我们 你 你们 我 他 她 它 新的 老旧 更新 默认 上周 到底 为什么 说实话 没想到 直播 高负载 对多数 在这段".split()
-FINAL_ZH = "了 吧 吗 呢 啊 呀 嘛 的".split()
-FINAL_JA = "た だ です ます か ね よ な う る い".split()
+OPENERS_ZH = "这个 那个 这 那 我们 你 你们 我 他 她 它 他们 她们 今天 昨天 明天 到底 为什么 所以 因为 如果 然后 不过 其实".split()
+OPENERS_JA = "今日 明日 昨日 私 僕 彼 彼女 でも しかし そして また これ それ あれ この その だから ところで".split()
+FINAL_ZH = "了 吧 吗 呢 啊 呀 嘛".split()
+FINAL_JA = "た だ です ます でした ました か ね よ ですね ますね ですよ ますよ ますか ですか".split()
+
+_CLOSED = (*FOLLOWS_JA, *"却 但 而 的 地 得 喊 嚷".split(), *(w for w in (*FOLLOWS_ZH, *SPEECH_ZH) if len(w) > 1))
 
-_DICTIONARY = frozenset([*FOLLOWS_JA, *FOLLOWS_ZH, *SPEECH_ZH, *OPENERS_ZH, *FINAL_ZH, *FINAL_JA])
-_LONGEST = max(map(len, _DICTIONARY))
+#: Words of the learned dictionary, by their number; least number and cohesion of one; clause openings and endings count from this on.
+LEXICON = 200_000
+LEAST, COHESION, CLEAR = 5, 2.0, 1.2
 
 _BREAK = re.compile(r"\r?\n")
 _OPEN = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "‘": "’"}
@@ -65,6 +79,8 @@ _BRACKETS = frozenset("(（[")
 _TOKEN = re.compile(r"[.!?…。！？।॥｡]+|[“„«‹「『(（\[《‘”»›」』)）\]》’\"]")
 _MARK = frozenset(".!?…。！？।॥｡")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
+_SPACELESS_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+_EDGE = " \t　“”「」『』\"'（）()*>-–—•"
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}ー]")
 _CASELESS = regex.compile(r"[\p{Devanagari}\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _RUN = regex.compile(r"[\p{Katakana}ー]+|[\p{Latin}\p{N}]+|.", regex.S)
@@ -74,28 +90,58 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ALNUM = re.compile(r"[^\W_]")
 
 
-def words(text: str) -> list[str]:
-    """The cheapest path through the word lattice of a short text: dictionary words before runs before single characters."""
-    n = len(text)
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
-    for i in range(n):
-        cost = best[i][0]
-        run = _RUN.match(text, i).end()
-        if cost + 2 < best[run][0]:
-            best[run] = (cost + 2, i)
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            if text[i:j] in _DICTIONARY and cost + 1 < best[j][0]:
-                best[j] = (cost + 1, i)
-    out, j = [], n
-    while j:
-        i = best[j][1]
-        out.append(text[i:j])
-        j = i
-    return out[::-1]
-
-
-def _spaceless_end(line: str, mark: str, opened: int, start: int, after: int) -> bool:
-    """Whether a sentence ends behind a quotation closed in a script without spaces or case."""
+class Words:
+    """The dictionary of the word lattice: what a word costs, and how far it closes or opens a sentence (as a logarithm of odds)."""
+
+    def __init__(self, counts: dict[str, tuple[int, int, int]] | None = None) -> None:
+        counts = counts or {}
+        single = sum(n for w, (n, _, _) in counts.items() if len(w) == 1) or 1
+        opened, closed = (sum(c[k] for w, c in counts.items() if len(w) == 1) or 1 for k in (1, 2))
+        self.cost, self.final, self.opening = {}, {}, {}
+        for w, (n, o, f) in counts.items():
+            parts = [(w[:i], w[i:]) for i in range(1, len(w))]
+            bound = min((math.log(n * single / (counts.get(a, (n,))[0] * counts.get(b, (n,))[0])) for a, b in parts), default=0.0)
+            # a learned word may not hide one of the closed classes
+            if parts and bound < COHESION or any(w != x and (w.startswith(x) or len(x) > 1 and x in w) for x in _CLOSED):
+                continue
+            self.cost[w] = math.log(single / n) / len(w) ** 0.5
+            self.opening[w] = math.log((o + 0.5) / (n + 1) * single / opened)
+            self.final[w] = math.log((f + 0.5) / (n + 1) * single / closed)
+        for w in (*FOLLOWS_JA, *FOLLOWS_ZH, *SPEECH_ZH, *OPENERS_ZH, *OPENERS_JA, *FINAL_ZH, *FINAL_JA):
+            self.cost[w] = min(1.0, self.cost.get(w, 1.0))
+        self.opening |= {w: max(2.0, self.opening.get(w, 0.0)) for w in (*OPENERS_ZH, *OPENERS_JA)}
+        self.final |= {w: max(2.0, self.final.get(w, 0.0)) for w in (*FINAL_ZH, *FINAL_JA)}
+        self.longest = max(map(len, self.cost))
+        self.dear = max([2.0, *(c for w, c in self.cost.items() if len(w) == 1)]) + 1
+
+    def path(self, text: str) -> list[str]:
+        """The cheapest path through the lattice of a text: dictionary words before runs of one script before single characters."""
+        n = len(text)
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
+        for i in range(n):
+            cost = best[i][0]
+            run = _RUN.match(text, i).end()
+            if cost + self.dear < best[run][0]:
+                best[run] = (cost + self.dear, i)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                own = self.cost.get(text[i:j])
+                if own is not None and cost + own < best[j][0]:
+                    best[j] = (cost + own, i)
+        out, j = [], n
+        while j:
+            i = best[j][1]
+            out.append(text[i:j])
+            j = i
+        return out[::-1]
+
+
+@cache
+def fixed_words() -> Words:
+    return Words()
+
+
+def _spaceless_end(line: str, mark: str, opened: int, start: int, after: int, words: Words) -> bool:
+    """Whether a sentence ends behind a quotation closed in a script without spaces or case: by the words around the gap."""
     follow = line[after : after + 14].lstrip()
     if not follow:
         return True
@@ -104,18 +150,20 @@ def _spaceless_end(line: str, mark: str, opened: int, start: int, after: int) ->
     introduced = intro[-1:] in ("：", ":", "，", ",", "、")
     soft = mark[-1] in ".。।॥｡"
     if _SPACELESS.match(follow):
-        right = words(follow)[0]
+        right = words.path(follow)[0]
+        opens = words.opening.get(right, 0.0)
         if _KANA.search(line[start : after + 40]):
             if right in FOLLOWS_JA:
                 return False
-            return not intro or soft or introduced or words(line[max(start, opened - 6) : opened])[-1] not in FOLLOWS_JA
+            left = words.path(line[max(start, opened - 6) : opened])[-1:] or [""]
+            return not intro or soft or introduced or left[0] not in FOLLOWS_JA or words.final.get(left[0], 0.0) + opens >= 2 * CLEAR
         if right in FOLLOWS_ZH:
             return False
         if introduced:
             return True
-        if intro:
-            return False
-        return soft or not any(w in SPEECH_ZH for w in words(clause[:14]))
+        if intro:  # the sentence that the quotation stands in may go on
+            return opens >= CLEAR
+        return soft or opens >= 3 * CLEAR or not any(w in SPEECH_ZH for w in words.path(clause[:14]))
     if _CASELESS.match(follow):  # Devanagari
         if introduced or soft:
             return True
@@ -160,7 +208,7 @@ def _period_end(line: str, at: int, first: int, after: int, follow: str) -> bool
     return True
 
 
-def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, int]], start: int, first: int) -> bool:
+def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, int]], start: int, first: int, words: Words) -> bool:
     """The reading of the mark ``line[begin:end]``, its closers up to ``after``; ``start`` is where its unit starts."""
     rest = line[after:]
     follow = rest.lstrip()
@@ -177,7 +225,7 @@ def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, i
         if ellipsis:
             return capital
         if _CASELESS.match(follow):
-            return _spaceless_end(line, mark, opened, start, after)
+            return _spaceless_end(line, mark, opened, start, after, words)
         if capital or mark[-1] in ".。।":
             return follow[0] not in ",;:"
         return bool(_NAMED.match(follow)) if follow[0].isalpha() else not follow[0] in ",;:-–—"
@@ -199,22 +247,32 @@ def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, i
     return _period_end(line, begin, first, after, follow)
 
 
-def _continues(line: str, at: int) -> bool:
+def _continues(line: str, at: int, words: Words) -> bool:
     """Whether the sentence goes on behind a closing quotation mark at ``at``."""
     follow = line[at + 1 :].lstrip()
     if not follow:
         return False
     if _CASELESS.match(follow):
-        return not _spaceless_end(line, line[at - 1 : at] or "!", at, at, at + 1)
+        return not _spaceless_end(line, line[at - 1 : at] or "!", at, at, at + 1, words)
     return follow[0].islower() and not _NAMED.match(follow)
 
 
-def line_ends(line: str) -> list[int]:
-    """Where the units of a line end (the last one at its length)."""
-    first = len(line) - len(line.lstrip())
-    ends, start = [], first
+@dataclass
+class Mark:
+    """A mark of a line with the quotations it closes (up to ``after``) and the innermost one it stands in."""
+
+    begin: int
+    end: int
+    after: int
+    closed: list[tuple[str, int]]
+    inside: tuple[str, int] | None
+    alone: bool
+
+
+def marks(line: str) -> list[Mark]:
+    """The marks of a line that may end a sentence, with the quotations and brackets around them."""
     stack: list[tuple[str, int]] = []
-    at, n = first, len(line)
+    out, at, n = [], 0, len(line)
     while (m := _TOKEN.search(line, at)) is not None:
         begin, at = m.span()
         c = m[0]
@@ -246,30 +304,86 @@ def line_ends(line: str) -> list[int]:
                 after = step + 1
             else:
                 break
-        if stack:
-            # inside: only a quotation that makes up its unit by itself holds sentences of its own
-            o, p = stack[-1]
-            shut = line.find(_OPEN.get(o, '"'), after)
-            own = len(stack) == 1 and o not in _BRACKETS and line[start:p].strip() == "" and shut > 0 and not _continues(line, shut)
-            if not own or not _ends(line, begin, at, after, closed, start, first):
-                at = max(at, after)
-                continue
-        elif not _ends(line, begin, at, after, closed, start, first):
-            at = max(at, after)
-            continue
-        ends.append(after)
-        start = after + len(line[after:]) - len(line[after:].lstrip())
+        out.append(Mark(begin, at, after, closed, stack[-1] if stack else None, len(stack) == 1))
         at = after
-    if not ends or ends[-1] < n:
-        ends.append(n)
-    return ends
+    return out
+
 
+_SURE, _EMPTY, _GIVE_UP = 3.0, 2.0, 7.0
 
-def line_units(line: str) -> list[tuple[int, int]]:
+
+def _reads_end(line: str, m: Mark, start: int, first: int, words: Words) -> bool:
+    """The cheaper reading of a mark alone, in a unit that starts at ``start``."""
+    if m.inside:
+        # only a quotation that makes up its unit by itself holds sentences of its own
+        o, p = m.inside
+        shut = line.find(_OPEN.get(o, '"'), m.after)
+        if not (m.alone and o not in _BRACKETS and line[start:p].strip() == "" and shut > 0 and not _continues(line, shut, words)):
+            return False
+    return _ends(line, m.begin, m.end, m.after, m.closed, start, first, words)
+
+
+def line_ends(line: str, words: Words | None = None) -> list[int]:
+    """Where the units of a line end (the last one at its length): the cheapest path through the lattice of its marks.
+
+    A node is a start of a unit. An arc to the end mark of a unit costs what reading that mark as an end and
+    the marks before it as inside costs, and more where the unit holds no letter or digit.
+    """
+    words = words or fixed_words()
+    first, n = len(line) - len(line.lstrip()), len(line)
+    nodes = marks(line)
+    if not nodes:
+        return [n]
+    free = [None if m.inside or m.closed else _reads_end(line, m, first, first, words) for m in nodes]
+    starts = [first] + [m.after + len(line[m.after :]) - len(line[m.after :].lstrip()) for m in nodes]
+    infinite = float("inf")
+    best, back = [0.0] + [infinite] * len(nodes), [0] * (len(nodes) + 1)
+    close, last = infinite, 0
+    for j in range(len(nodes) + 1):
+        if best[j] == infinite:
+            continue
+        inside, seen = best[j], False
+        for i in range(j, len(nodes)):
+            m = nodes[i]
+            end = free[i] if free[i] is not None else _reads_end(line, m, starts[j], first, words)
+            seen = seen or bool(_ALNUM.search(line, starts[j] if i == j else nodes[i - 1].after, m.after))
+            cost = inside + (0.0 if end else _SURE) + (0.0 if seen else _EMPTY)
+            if cost < best[i + 1]:
+                best[i + 1], back[i + 1] = cost, j
+            inside += _SURE if end else 0.0
+            if inside - best[j] > _GIVE_UP:  # some other start always does better
+                break
+        else:
+            if inside < close:
+                close, last = inside, j
+    ends = [n]
+    while last:
+        if nodes[last - 1].after < n:
+            ends.append(nodes[last - 1].after)
+        last = back[last]
+    return ends[::-1]
+
+
+def unmarked_ends(line: str, words: Words) -> list[int]:
+    """Gaps without a mark between a word that closes and a word that opens a sentence, in scripts without spaces."""
+    out = []
+    for m in _SPACELESS_RUN.finditer(line):
+        at, left = m.start(), ""
+        for w in words.path(m[0]):
+            if min(words.final.get(left, 0.0), words.opening.get(w, 0.0)) >= CLEAR:
+                out.append(at)
+            at, left = at + len(w), w
+    return out
+
+
+def line_units(line: str, words: Words | None = None, unmarked: bool = False) -> list[tuple[int, int]]:
     """Spans of the units of a line, each with a letter or digit, without white space around them."""
     spans: list[list[int]] = []
     last = 0
-    for end in line_ends(line):
+    ends = line_ends(line, words)
+    if unmarked:
+        ends = sorted({*ends, *unmarked_ends(line, words or fixed_words())})
+    for end in ends:
         part = line[last:end]
         if _ALNUM.search(part):
             a = last + len(part) - len(part.lstrip())
@@ -285,37 +399,74 @@ def line_units(line: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans if b >= 0]
 
 
-def units(text: str) -> list[tuple[int, int]]:
+def units(text: str, words: Words | None = None, unmarked: bool = False) -> list[tuple[int, int]]:
     """Spans of all sentence units of a text."""
     out, at = [], 0
     for m in [*_BREAK.finditer(text), None]:
         stop = m.start() if m else len(text)
         if stop > at:
-            out += [(at + a, at + b) for a, b in line_units(text[at:stop])]
+            out += [(at + a, at + b) for a, b in line_units(text[at:stop], words, unmarked)]
         at = m.end() if m else stop
     return out
 
 
-def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of one to four characters of the clauses, with how often they occur, open and close one."""
     for pdf in batches:
-        for at in range(0, len(pdf), 2000):
-            part = pdf.iloc[at : at + 2000]
-            spans = [units(t) if t else [] for t in part["text"]]
-            counts = [len(s) for s in spans]
-            flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({
-                "doc_id": np.repeat(part["doc_id"].to_numpy(), counts),
-                "unit_no": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]),
-                "start_pos": flat[:, 0],
-                "end_pos": flat[:, 1],
-                "unit": [t[a:b] for t, s in zip(part["text"], spans) for a, b in s],
-            })
-
-
-def sentence_units(documents: DataFrame) -> DataFrame:
+        n, opened, closed = Counter(), Counter(), Counter()
+        for clause, weight in zip(pdf["clause"], pdf["n"]):
+            # behind a closing quotation mark the sentence may go on, so such a clause tells of no opening
+            fresh = not clause.startswith(tuple(_CLOSE)) and clause[:1] != '"'
+            clause = clause.strip(_EDGE)
+            runs = [m.span() for m in _SPACELESS_RUN.finditer(clause)]
+            for a, b in runs:
+                for k in range(1, 5):
+                    for i in range(a, b - k + 1):
+                        n[clause[i : i + k]] += weight
+            if runs:
+                (a, b), (c, d) = runs[0], runs[-1]
+                for k in range(1, 5):
+                    if fresh and a == 0 and k <= b:
+                        opened[clause[:k]] += weight
+                    if d == len(clause) and k <= d - c:
+                        closed[clause[-k:]] += weight
+        yield pd.DataFrame([(w, c, opened[w], closed[w]) for w, c in n.items()], columns=["word", "n", "opened", "closed"])
+
+
+def learn(documents: DataFrame, size: int = LEXICON, least: int = LEAST) -> Words:
+    """The dictionary of the word lattice from the clauses of all documents; its ``size`` most frequent runs are kept."""
+    clause = F.explode(F.split("text", r"[。！？!?…\r\n]+")).alias("clause")
+    clauses = documents.select(clause).filter(F.col("clause").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")).groupBy("clause").agg(F.count(F.lit(1)).alias("n"))
+    runs = clauses.mapInPandas(_counted, "word string, n long, opened long, closed long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "opened", "closed")))
+    kept = runs.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size)
+    return Words({r["word"]: (r["n"], r["opened"], r["closed"]) for r in kept.toLocalIterator()})
+
+
+def _unit_rows(shared, unmarked: bool):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                spans = [units(t, words, unmarked) if t else [] for t in part["text"]]
+                counts = [len(s) for s in spans]
+                flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
+                yield pd.DataFrame({
+                    "doc_id": np.repeat(part["doc_id"].to_numpy(), counts),
+                    "unit_no": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]),
+                    "start_pos": flat[:, 0],
+                    "end_pos": flat[:, 1],
+                    "unit": [t[a:b] for t, s in zip(part["text"], spans) for a, b in s],
+                })
+
+    return rows
+
+
+def sentence_units(documents: DataFrame, words: Words | None = None, unmarked: bool = False) -> DataFrame:
     """``doc_id, unit_no, start_pos, end_pos, unit`` of every document."""
-    return documents.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(_unit_rows, "doc_id long, unit_no int, start_pos int, end_pos int, unit string")
+    shared = documents.sparkSession.sparkContext.broadcast(words or learn(documents))
+    return documents.select("doc_id", "text").mapInPandas(_unit_rows(shared, unmarked), "doc_id long, unit_no int, start_pos int, end_pos int, unit string")
 
 
 def found(documents: DataFrame) -> DataFrame:
-    return sentence_units(documents).select("doc_id", "start_pos")
+    return sentence_units(documents).select("doc_id", "start_pos").distinct()
