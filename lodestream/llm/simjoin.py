@@ -473,8 +473,8 @@ def summed(partial: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra:
     return pairs.filter(F.pandas_udf(enough, "boolean")("shared", "held", "nx", "ny")).select(*PAIR)
 
 
-def candidates(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra: float = EXTRA) -> DataFrame:
-    """``ax, bx, ay, by``: the pairs of keys, among all, whose summed partial overlaps can reach the bound."""
+def partials(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra: float = EXTRA) -> DataFrame:
+    """``PARTIAL``: the partial overlaps of all pairs of records of the blocks."""
 
     def count(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fragment, part, own, slices = (int(g) for g in group)
@@ -484,23 +484,28 @@ def candidates(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extr
 
     # a partition for few groups each, which nothing merges again: a group is long work on little data
     spread = blocks.repartition(min(4 * plan.fragments * plan.parts, 4000), "fragment", "part", "slice")
-    return summed(spread.groupBy("fragment", "part", "slice", "slices").applyInPandas(count, PARTIAL), plan, threshold, extra)
+    return spread.groupBy("fragment", "part", "slice", "slices").applyInPandas(count, PARTIAL)
+
+
+def candidates(blocks: DataFrame, plan: Plan, threshold: float = THRESHOLD, extra: float = EXTRA) -> DataFrame:
+    """``ax, bx, ay, by``: the pairs of keys, among all, whose summed partial overlaps can reach the bound."""
+    return summed(partials(blocks, plan, threshold, extra), plan, threshold, extra)
 
 
 def alike(threshold: float = THRESHOLD, gram: int = GRAM):
-    """The ``harvest_id`` of the rows whose texts ``tx`` and ``ty`` are similar enough."""
+    """The pairs of the rows whose texts ``tx`` and ``ty`` are similar enough."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, np.ndarray] = {}
+            known: dict[int, np.ndarray] = {}
             keep = []
-            for own, tx, ty in zip(pdf["harvest_id"], pdf["tx"], pdf["ty"]):
+            for own, tx, ty in zip(pdf["ax"], pdf["tx"], pdf["ty"]):
                 if own not in known:
                     known[own] = _set_of_text(tx, gram)
                 x, y = known[own], _set_of_text(ty, gram)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-            yield pdf.loc[keep, ["harvest_id"]]
+            yield pdf.loc[keep, PAIR]
 
     return rows
 
