@@ -432,7 +432,7 @@ def _name_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         seen[text] += 1
                     else:
                         seen.update(w.lower() for w in _SPEAKS.findall(text) if len(w) > 1)
-        yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": list(seen.values())})
 
 
 def _sample_rows(share: float):

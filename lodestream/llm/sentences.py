@@ -66,7 +66,7 @@ OPENERS_JA = "今日 明日 昨日 私 僕 彼 彼女 でも しかし そして
 FINAL_ZH = "了 吧 吗 呢 啊 呀 嘛".split()
 FINAL_JA = "た だ です ます でした ました か ね よ ですね ますね ですよ ますよ ますか ですか".split()
 
-_CLOSED = (*FOLLOWS_JA, *"却 但 而 的 地 得 喊 嚷".split(), *(w for w in (*FOLLOWS_ZH, *SPEECH_ZH) if len(w) > 1))
+_CLOSED = (*FOLLOWS_JA, *"却 但 而 的 喊 嚷".split(), *(w for w in (*FOLLOWS_ZH, *SPEECH_ZH) if len(w) > 1))
 
 #: Words of the learned dictionary, by their number; least number and cohesion of one; clause openings and endings count from this on.
 LEXICON = 200_000
@@ -430,7 +430,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         opened[clause[:k]] += weight
                     if d == len(clause) and k <= d - c:
                         closed[clause[-k:]] += weight
-        yield pd.DataFrame([(w, c, opened[w], closed[w]) for w, c in n.items()], columns=["word", "n", "opened", "closed"])
+        yield pd.DataFrame({"word": pd.Series(list(n), dtype=object), "n": list(n.values()), "opened": [opened[w] for w in n], "closed": [closed[w] for w in n]})
 
 
 def learn(documents: DataFrame, size: int = LEXICON, least: int = LEAST) -> Words:
@@ -456,7 +456,7 @@ def _unit_rows(shared, unmarked: bool):
                     "unit_no": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]),
                     "start_pos": flat[:, 0],
                     "end_pos": flat[:, 1],
-                    "unit": [t[a:b] for t, s in zip(part["text"], spans) for a, b in s],
+                    "unit": pd.Series([t[a:b] for t, s in zip(part["text"], spans) for a, b in s], dtype=object),
                 })
 
     return rows

@@ -91,7 +91,8 @@ def test_history_batch_by_batch(spark, envelopes, monkeypatch, probe):
     monkeypatch.setattr(history, "REORDER", 3)
     monkeypatch.setattr(history, "FAN", 3)
     rows, want = history_rows()
-    assert {r["harvest_id"] for r in history.found(envelopes(rows)).collect()} == want and len(want) > 15
+    for run in (1, 4):
+        assert {r["harvest_id"] for r in history.replay(envelopes(rows), run).collect()} == want and len(want) > 15
     assert history.found(envelopes([])).count() == 0
 
 

@@ -63,6 +63,14 @@ def test_mixed_words_without_lookalikes_and_emoji_joiners(spark):
     assert {int(r["rec_id"]) for r in lookalikes.found(records(spark, texts)).collect()} == {0, 1, 2, 3, 5}
 
 
+def test_classes_have_plain_members(spark):
+    texts = ["I like Apple pie", "Аррlе here", "SQLзапрос", "զne", "Ꭺpple", "Пpивет", "сор", "a cоp", "cop", "cop", "Иван сор сор сор"]
+    got = {int(r["rec_id"]): r["unified"] for r in lookalikes.unify_records(records(spark, texts)).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 5)] == ["I like Apple pie", "Apple here", "SQLзапрос", "qne", "Apple", "Привет"]
+    assert (got[6], got[7], got[8]) == ("сор", "a сор", "cop")  # the plain word with most occurrences
+    assert {int(r["rec_id"]) for r in lookalikes.found(records(spark, texts)).collect()} == {1, 2, 5, 7}
+
+
 def test_languages(envelopes):
     said = {"en": "the small engine reads every line of the old book", "de": "der kleine Motor liest jede Zeile des alten Buches", "fr": "le petit moteur lit chaque ligne du vieux livre", "es": "el motor lee cada línea del libro viejo y pequeño", "vi": "động cơ nhỏ đọc từng dòng của cuốn sách cũ", "ru": "маленький мотор читает каждую строку старой книги", "hi": "छोटा यंत्र पुरानी किताब की हर पंक्ति पढता है", "ja": "小さな機械は古い本のすべての行を静かに読んでいる", "zh": "小小的机器安静地阅读着那本旧书里面的每一行文字内容"}
     judge = languages.Judge(said)
@@ -133,11 +141,16 @@ def test_automaton_finds_every_substring():
 
 
 @pytest.fixture(scope="module")
-def model():
-    lines = [f"Ticket opened by Wren {s} (passport X00{i}84709), callback on +49 30 2312{i}." for i, s in enumerate(["Haldrow", "Quistorp", "Ostlery"] * 3, 10)]
-    lines += [f"Order 4471-2290-{i} was cancelled." for i in range(400, 410)] + [f"Today's guest is Marcus {s}, who built it." for s in ["Haldrow", "Quistorp"] * 3]
-    lines += ["Parcel went to 87b Old Tannery Road, Apt 5, Fennick Falls, wrong door.", "write to wren@inbox.invalid today"] * 3
-    return pii.train(lines)
+def model(spark):
+    lines = [f"Ticket opened by Wren {s} (passport X00{i}84709), callback on +49 30 2312{i}." for i, s in enumerate(["Haldrow", "Quistorp", "Ostlery"] * 9, 10)]
+    lines += [f"Order 4471-2290-{i} was cancelled." for i in range(400, 430)] + [f"Today's guest is Marcus {s}, who built it." for s in ["Haldrow", "Quistorp", "Ostlery"] * 3]
+    lines += [f"Parcel went to {i}b Old Tannery Road, Apt 5, Fennick Falls, wrong door. Contact Marcus Quistorp." for i in range(80, 90)] + [f"write to wren{i}@inbox.invalid today" for i in range(9)]
+    lines += [f"Our guest is Lomodyne {s} today" for s in ("Radar", "Studio", "Weekly", "Notes")]
+    return pii.fit(records(spark, lines + ["\n".join(lines)]))
+
+
+def test_lexicon_counts_all_lines(model):
+    assert {"wren", "marcus", "haldrow", "quistorp", "ostlery"} <= model[1] and not {"lomodyne", "radar"} & model[1]
 
 
 def test_pii(spark, model):
@@ -148,20 +161,60 @@ def test_pii(spark, model):
     assert text[0] == "hello\nWrite to [EMAIL] or call [PHONE].\nOrder 4471-2290-361 was cancelled." and text[3] is None and text[4] == "" and text[5] == texts[5]
 
 
-def test_segmentation_is_the_best_one(model):
-    """The dynamic program equals trying every set of spans that do not overlap."""
+def test_candidates_are_whole_spans():
+    """Nothing is cut short or left out for its length, and names need no cue if a word of them is known."""
+    of = lambda line: {(s.kind, line[s.begin : s.end]) for s in pii.candidates(line)}
+    assert ("number", "DE89 3704 0044 0532 0130 00") in of("to DE89 3704 0044 0532 0130 00 please")
+    assert ("number", "4111 1111 1111 1111 111") in of("card 4111 1111 1111 1111 111")
+    assert ("name", "John Carpenter") in of("My name is John Carpenter and I live in Leeds.")
+    assert ("name", "Maria Gonzalez") in of("Please ask Maria Gonzalez about it.")
+    assert ("name", "MARIA GONZALEZ") in of("ASK MARIA GONZALEZ ABOUT IT")
+    long = "12 Old " + "Northernmost" * 12 + " Tannery Road, Apt 5, Fennick Falls"
+    assert ("address0", long) in of("Send to " + long)
+    assert any(k == "address5" for k, _ in of("Calle Mayor, 5")) and any(k == "address4" for k, _ in of("12 Rue de Rivoli")) and any(k == "address7" for k, _ in of("Ул. Ленина, 5"))
+
+
+def _value(weights, chosen):
+    chosen = sorted(chosen, key=lambda c: c[0].end)
+    return sum(pii._score(weights, s, t) + weights.get(pii._link(before, s, t), 0.0) for before, (s, t) in zip([None, *chosen], chosen))
+
+
+LINE = "Call +44 20 7946 0140 or Wren Haldrow at 12 West 9th Street, Dunmarrow or x@y.zz 987-65-4321"
+
+
+def _segmentations(spans):
     from itertools import product
 
-    weights, lexicon = model
-    line = "Call +44 20 7946 0140 or Wren Haldrow at 12 West 9th Street, Dunmarrow or x@y.zz 987-65-4321"
-    spans = pii.candidates(line, lexicon)
-    value = lambda chosen: sum(pii._score(weights, s, t) + 0.001 * (s.end - s.begin) for s, t in chosen)
-    best = 0.0
     for pick in product(*[(None, *s.labels) for s in spans]):
         chosen = [(s, t) for s, t in zip(spans, pick) if t]
         if all(a.end <= b.begin or b.end <= a.begin for (a, _), (b, _) in product(chosen, chosen) if a is not b):
-            best = max(best, value(chosen))
-    assert abs(value(pii.decode(weights, spans)) - best) < 0.1
+            yield chosen
+
+
+def test_segmentation_is_the_best_one(model):
+    """The dynamic program equals trying every set of spans that do not overlap, links included."""
+    weights, lexicon = model
+    spans = pii.candidates(LINE, lexicon)
+    best = max(_value(weights, chosen) for chosen in _segmentations(spans))
+    assert abs(_value(weights, pii.decode(weights, spans)) - best) < 1e-9
+
+
+def test_expectations_equal_sums_over_segmentations(model):
+    import math
+    from collections import Counter
+
+    weights, lexicon = model
+    spans = pii.candidates(LINE, lexicon)
+    total, want = 0.0, Counter()
+    for chosen in _segmentations(spans):
+        p = math.exp(_value(weights, chosen))
+        total += p
+        ordered = sorted(chosen, key=lambda c: c[0].end)
+        for before, (s, t) in zip([None, *ordered], ordered):
+            for f in (*s.features[t], pii._link(before, s, t)):
+                want[f] += p
+    log, got = pii._expected(weights, spans, False)
+    assert abs(log - math.log(total)) < 1e-6 and all(abs(got[f] - n / total) < 1e-6 for f, n in want.items())
 
 
 def test_encoding_equals_the_vocabulary(spark):
@@ -203,5 +256,50 @@ def test_sentences(case):
 def test_sentence_lines(spark):
     texts = ["1. First one. Second\r\n\n- no marks here\n———\n🔥🔥", None, "", "  \n ", "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r["doc_id"], r["start_pos"], r["unit"]) for r in sentences.sentence_units(df.union(df)).collect())
+    got = sorted((r["doc_id"], r["start_pos"], r["unit"]) for r in sentences.sentence_units(df).collect())
     assert got == [(0, 0, "1. First one."), (0, 14, "Second"), (0, 23, "- no marks here"), (4, 0, "x")]
+    assert sorted(map(tuple, sentences.found(df.union(df)).collect())) == [(d, a) for d, a, _ in got]
+    assert sentences.found(df.limit(0)).count() == 0
+
+
+def test_dictionary_is_learned_from_all_documents(spark):
+    rnd = random.Random(3)
+    pick = lambda *words: rnd.choice(words)
+    lines = [pick("老虎", "飞机", "雨伞") + pick("吃", "看", "买") + pick("苹果", "地图", "石头") + "。" for _ in range(300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    words = sentences.learn(df)
+    assert words.path("老虎看地图") == ["老虎", "看", "地图"]
+    assert words.opening["飞机"] > sentences.CLEAR > words.opening["地图"] and words.final["石头"] > 0 > words.final["雨伞"]
+    text = "他大喊“快跑啊！”飞机买了地图。"
+    assert [text[a:b] for a, b in sentences.units(text, words)] == ["他大喊“快跑啊！”", "飞机买了地图。"]
+    assert len(sentences.units(text)) == 1  # without the learned words the quotation is part of the sentence
+
+
+def test_gaps_without_marks():
+    cut = lambda text: [text[a:b] for a, b in sentences.units(text, unmarked=True)]
+    assert cut("昨天下雨了我们没出去") == ["昨天下雨了", "我们没出去"]
+    assert cut("今日は雨ですね明日は晴れます") == ["今日は雨ですね", "明日は晴れます"]
+    assert len(sentences.units("昨天下雨了我们没出去")) == 1
+
+
+def test_line_lattice_is_the_cheapest_path():
+    """The path of every line equals trying all readings of its marks."""
+    from itertools import product
+
+    words = sentences.fixed_words()
+    for line in [c.replace("|", " ") for c in CASES] + ["... ok. “Hm. No!” x. A. B. Smith left. 3. Mai. !! ok"]:
+        marks = sentences.marks(line)
+        if len(marks) > 9:
+            continue
+        first, best = len(line) - len(line.lstrip()), {}
+        for reading in product((False, True), repeat=len(marks)):
+            cost, start, ends = 0.0, first, []
+            for m, end in zip(marks, reading):
+                if sentences._reads_end(line, m, start, first, words) != end:
+                    cost += sentences._SURE
+                if end:
+                    cost += 0 if any(c.isalnum() for c in line[start : m.after]) else sentences._EMPTY
+                    ends.append(m.after)
+                    start = m.after + len(line[m.after :]) - len(line[m.after :].lstrip())
+            best.setdefault(cost, []).append(sorted({*ends, len(line)}))
+        assert sentences.line_ends(line) in best[min(best)]
