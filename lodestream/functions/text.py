@@ -77,18 +77,24 @@ def _finish(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{WS}{{2,}}", " "))
 
 
-def clean_noise(c: Column) -> Column:
-    """Tags to spaces, entities decoded, links out, runs of emoji to dots, NFKC, runs of white space to one space."""
+def cleaned(c: Column, transcript: Column) -> Column:
+    """Tags to spaces, entities decoded, links out, runs of emoji to dots, NFKC, runs of white space to one space.
+
+    Where ``transcript`` holds, caption tags and clock times go as well, and bare short links stay. Both kinds
+    share the two calls to Python.
+    """
     text = unescape(F.regexp_replace(F.coalesce(c, F.lit("")), TAGS, " "))
-    text = F.regexp_replace(F.regexp_replace(text, SHORT_LINKS, ""), EMOJI_RUN, "...")
-    return _finish(nfkc(text))
+    said = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CAPTION_TAGS, ""), TIMESTAMPS, ""), URLS, "")
+    text = F.when(transcript, said).otherwise(F.regexp_replace(text, SHORT_LINKS, ""))
+    return _finish(nfkc(F.regexp_replace(text, EMOJI_RUN, "...")))
+
+
+def clean_noise(c: Column) -> Column:
+    return cleaned(c, F.lit(False))
 
 
 def clean_transcript(c: Column) -> Column:
-    """As ``clean_noise``, with caption tags and clock times taken out as well."""
-    text = F.regexp_replace(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), TAGS, " ")), CAPTION_TAGS, "")
-    text = F.regexp_replace(F.regexp_replace(text, TIMESTAMPS, ""), URLS, "")
-    return _finish(nfkc(F.regexp_replace(text, EMOJI_RUN, "...")))
+    return cleaned(c, F.lit(True))
 
 
 def mask_secrets(options: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from lodestream.functions.ids import point_id
 from lodestream.functions.text import or_else
 from lodestream.operators.chunking import MAX_WORDS, OVERLAP_WORDS, chunk
+from lodestream.session import cut, delete, exists, small_side
 
 TTL_HOURS = 72
+#: The folder name of a null partition value.
+F_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 def land(envelopes: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -40,6 +43,27 @@ def retain(envelopes: DataFrame, now: Column, ttl_hours: float = TTL_HOURS) -> D
     return envelopes.filter(~expired(F.col("harvested_at"), now, ttl_hours))
 
 
+def delete_expired(spark: SparkSession, path: str, now: Column, ttl_hours: float = TTL_HOURS) -> int:
+    """Delete what is past its time to live from a lake written by ``land`` (parquet); returns the rows deleted.
+
+    Only the partitions that hold such rows are written anew; a partition in which all are expired goes.
+    """
+    lake = spark.read.parquet(path)
+    old = lake.filter(expired(F.col("harvested_at"), now, ttl_hours))
+    touched = cut(old.groupBy("tenant_id", "plugin_type").agg(F.count(F.lit(1)).alias("n")))
+    deleted = touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if deleted:
+        pairs = touched.select("tenant_id", "plugin_type")
+        same = lambda a, b: F.col(f"{a}.tenant_id").eqNullSafe(F.col(f"{b}.tenant_id")) & F.col(f"{a}.plugin_type").eqNullSafe(F.col(f"{b}.plugin_type"))
+        kept = cut(retain(lake, now, ttl_hours).alias("l").join(small_side(pairs).alias("t"), same("l", "t"), "left_semi"))
+        kept.write.partitionBy("tenant_id", "plugin_type").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        gone = pairs.alias("t").join(kept.select("tenant_id", "plugin_type").distinct().alias("l"), same("t", "l"), "left_anti")
+        for row in gone.toLocalIterator():
+            names = [F_NULL if row[c] is None else row[c] for c in ("tenant_id", "plugin_type")]
+            delete(spark, f"{path}/tenant_id={names[0]}/plugin_type={names[1]}")
+    return deleted
+
+
 def payloads(items: DataFrame, tenant: str, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS) -> DataFrame:
     """``id, chunk_no, text, tenant_id, source_url, locale`` of each chunk of approved items.
 
@@ -61,17 +85,40 @@ def last_wins(points: DataFrame, order: list) -> DataFrame:
 def upsert(spark: SparkSession, points: DataFrame, path: str, order: list) -> int:
     """Write points into the collection at ``path``; the same id is overwritten. Returns the points submitted.
 
-    Each run adds a version; ``read_collection`` shows the latest of each id, so a run never rewrites
-    what is there, and a run that is repeated changes nothing that is read.
+    A run appends only points that are new or differ from what the collection shows for their id, so a run
+    that is repeated writes nothing. Each run has a number of its own, and the latest of an id counts.
     """
+    points = cut(points)
     n = points.count()
     if n:
-        last_wins(points, order).withColumn("_written", F.current_timestamp()).write.partitionBy("tenant_id").mode("append").parquet(path)
+        new = last_wins(points, order)
+        run = 0
+        if exists(spark, path):
+            there = read_collection(spark, path)
+            run = 1 + (spark.read.parquet(path).agg(F.max("_run")).first()[0] or 0)
+            same = F.lit(True)
+            for c in new.columns:
+                same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+            new = new.alias("n").join(there.alias("o"), same, "left_anti")
+        new.withColumn("_run", F.lit(run)).write.partitionBy("tenant_id").mode("append").parquet(path)
     return n
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    return last_wins(spark.read.parquet(path), ["_written"]).drop("_written")
+    """The latest row of each id."""
+    return last_wins(spark.read.parquet(path), ["_run"]).drop("_run")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the collection anew without what later runs replaced; readers of the old files must have ended."""
+    whole = cut(last_wins(spark.read.parquet(path), ["_run"]))
+    whole.write.partitionBy("tenant_id").mode("overwrite").parquet(path)
+
+
+def check_dimension(vectors: DataFrame, size: int, vector: str = "vector") -> DataFrame:
+    """The rows with vectors of a collection's ``size``; a vector of another size fails the job, a null one is left out."""
+    wrong = F.raise_error(F.format_string("a vector of %d numbers for a collection of %d", F.size(vector), F.lit(size)))
+    return vectors.filter(F.col(vector).isNotNull()).withColumn(vector, F.when(F.size(vector) == size, F.col(vector)).otherwise(wrong))
 
 
 def source_status(sources: DataFrame, plugins: list[str]) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
 def _tok(x: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '{_WS}+'), lambda x: x <> '')"
 
@@ -80,7 +82,33 @@ def _entries(text: str) -> str:
 
 _SPLIT = rf"list_filter(string_split_regex(regexp_replace({_strip('text')}, '([.!?。！？]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
+
+
+def _chunks(rows: str) -> str:
+    """CTEs ending in ``k(id, chunk_no, chunk)`` from ``rows`` (``id, text``): greedy packs of sentences, by running sums of words."""
+    return f"""
+t AS (SELECT id, {_strip("coalesce(text, '')")} AS t FROM ({rows})),
+s AS (SELECT id, {_SPLIT.replace(_strip("text"), "t")} AS p FROM t WHERE {_words('t')} > 400),
+w AS (SELECT id, p, list_transform(p, lambda y: {_words('y')}) AS w FROM s),
+c AS (SELECT id, len(p) AS n, list_transform(range(0, len(p) + 1), lambda y: coalesce(list_sum(w[1:y]), 0)) AS c FROM w),
+r AS (SELECT id, 0 AS no, 0 AS b, coalesce(list_filter(range(1, n), lambda i: c[i + 2] - c[1] > 400)[1], n) AS e FROM c
+  UNION ALL SELECT id, no + 1, nb, coalesce(list_filter(range(e + 1, n), lambda i: c[i + 2] - c[nb + 1] > 400)[1], n)
+  FROM (SELECT r.id, no, e, n, c, coalesce(list_filter(range(b, e), lambda i: c[e + 1] - c[i + 1] <= 60)[1], e - 1) AS nb FROM r JOIN c USING (id) WHERE e < n)),
+k AS (SELECT id, 0 AS chunk_no, t AS chunk FROM t WHERE t <> '' AND {_words('t')} <= 400
+  UNION ALL SELECT id, CAST(no AS INTEGER), array_to_string(p[b + 1:e], ' ') FROM r JOIN s USING (id))"""
+
+
+def _uuid5(x: str) -> str:
+    h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({x}))"
+    return f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '5' || substr({h}, 14, 3), translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3), substr({h}, 21, 12))"
+
+
 SQL = {
+    "chunk_docs": "WITH RECURSIVE " + _chunks("SELECT doc_id AS id, text FROM documents") + " SELECT id AS doc_id, chunk_no, chunk FROM k",
+    "ingest_payload": """WITH RECURSIVE o AS (SELECT DISTINCT harvest_id AS id, item.content AS text, coalesce(nullif(tenant_id, ''), 'tenant_demo') AS tenant_id,
+      coalesce(item.source_url, '') AS source_url, coalesce(item.locale, '') AS locale FROM raw_envelopes),"""
+    + _chunks("SELECT id, text FROM o")
+    + f""" SELECT DISTINCT {_uuid5("chunk || tenant_id")} AS id, chunk_no, chunk AS text, tenant_id, source_url, locale FROM k JOIN o USING (id)""",
     "bm25_corpus_stats": f"SELECT tenant_id, count(*) AS n_docs, round(avg(len({_tok('text')})), 6) AS avgdl FROM documents GROUP BY 1",
     "bm25_term_df": f"SELECT tenant_id, term, count(*) AS df FROM (SELECT tenant_id, unnest(list_distinct({_tok('text')})) AS term FROM documents) GROUP BY ALL",
     "bm25_tf": f"SELECT tenant_id, doc_id, term, count(*) AS tf FROM (SELECT tenant_id, doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL",
@@ -110,6 +138,7 @@ SQL = {
     "judge_batches": f"WITH {_ITEMS}, n AS (SELECT harvest_id, row_number() OVER (PARTITION BY plugin_type ORDER BY harvest_id) - 1 AS n FROM i) SELECT harvest_id, CAST(n // 8 AS INTEGER) AS batch_no, CAST(n % 8 AS INTEGER) AS pos FROM n",
     "judge_prompts": f"""WITH {_ITEMS}, n AS (SELECT plugin_type, coalesce(title, '') AS t, row_number() OVER (PARTITION BY plugin_type ORDER BY harvest_id) - 1 AS n FROM i)
     SELECT plugin_type, CAST(n // 8 AS INTEGER) AS batch_no, string_agg((n % 8 + 1) || '. ' || substring(t, 1, 500), chr(10) || chr(10) ORDER BY n) AS prompt FROM n GROUP BY 1, 2""",
+    "judge_rounds": "SELECT DISTINCT harvest_id, plugin_type, TRUE AS verdict FROM raw_envelopes",
     "cache_keys": "SELECT doc_id, sha1('stand-in|1|' || coalesce(text, '')) AS key FROM documents",
     "sentence_split": f"""WITH s AS (SELECT doc_id, {_SPLIT} AS p FROM documents)
     SELECT doc_id, CAST(unnest(generate_series(0, len(p) - 1)) AS INTEGER) AS sentence_no, unnest(p) AS sentence FROM s WHERE len(p) > 0""",

@@ -50,6 +50,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on whatever file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder an operator wrote, on whatever file system it lies."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

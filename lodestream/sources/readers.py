@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestream.functions.text import resolve_env
+from lodestream.session import exists
 
 ITEM = "STRUCT<source_url: STRING, title: STRING, content: STRING, locale: STRING, media_urls: ARRAY<STRING>, media_path: STRING, metadata: STRING>"
 ENVELOPE = f"harvest_id STRING, tenant_id STRING, source_name STRING, plugin_type STRING, harvested_at TIMESTAMP, item {ITEM}"
@@ -18,7 +19,7 @@ APPROVED = "source_url STRING, title STRING, content STRING, clean_content STRIN
 
 def read_lake(spark: SparkSession, path: str, plugin: str | None = None) -> DataFrame:
     """All envelopes below ``path`` as JSON; unreadable files are dropped, a missing lake is empty."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         return spark.createDataFrame([], ENVELOPE)
     rows = spark.read.schema(ENVELOPE).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").json(path)
     return rows.filter(rows.plugin_type == plugin) if plugin else rows
@@ -26,14 +27,17 @@ def read_lake(spark: SparkSession, path: str, plugin: str | None = None) -> Data
 
 def read_approved(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Approved items of those files that exist (top-level arrays become rows)."""
-    there = [p for p in paths if Path(p).exists()]
+    there = [p for p in paths if exists(spark, p)]
     if not there:
         raise FileNotFoundError(", ".join(paths))
     return spark.read.schema(APPROVED).option("multiLine", True).json(there)
 
 
 def load_sources(spark: SparkSession, path: str, env: dict[str, str] | None = None) -> DataFrame:
-    """The source registry (JSON, or YAML where a parser is installed) with ``${NAME}`` resolved; entries without name or type are skipped."""
+    """The source registry (JSON, or YAML where a parser is installed) with ``${NAME}`` resolved.
+
+    Entries without name or type are skipped; of entries of one name the first holds.
+    """
     text = Path(path).read_text()
     try:
         import yaml
@@ -41,13 +45,19 @@ def load_sources(spark: SparkSession, path: str, env: dict[str, str] | None = No
         body = yaml.safe_load(text)
     except ImportError:
         body = json.loads(text)
-    rows = []
+    rows: dict[str, tuple] = {}
     for entry in (body or {}).get("sources", []):
         entry = resolve_env(entry, dict(os.environ) if env is None else env)
         if isinstance(entry, dict) and entry.get("name") and entry.get("type"):
             options = {k: v if isinstance(v, str) else json.dumps(v) for k, v in (entry.get("options") or {}).items()}
-            rows.append((entry["name"], entry["type"], entry.get("tenant_id"), bool(entry.get("enabled", True)), options))
-    return spark.createDataFrame(rows, "name STRING, type STRING, tenant_id STRING, enabled BOOLEAN, options MAP<STRING, STRING>")
+            rows.setdefault(entry["name"], (entry["name"], entry["type"], entry.get("tenant_id"), bool(entry.get("enabled", True)), options))
+    return spark.createDataFrame(list(rows.values()), "name STRING, type STRING, tenant_id STRING, enabled BOOLEAN, options MAP<STRING, STRING>")
+
+
+def selected(sources: DataFrame, name: str | None = None, kind: str | None = None) -> DataFrame:
+    """The sources of that name and that type; what is null selects all."""
+    out = sources if name is None else sources.filter(sources.name == name)
+    return out if kind is None else out.filter(out.type == kind)
 
 
 class FixtureSource(DataSource):

@@ -1,7 +1,5 @@
-import html
 import random
 import re
-import unicodedata
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,21 +14,13 @@ def col(spark, values, expr):
 
 
 TEXTS = [None, "", "  ", "a  b", "a\nb", "<b>x</b> &lt;i&gt; &amp; y", "see https://a.b/c?d now", "🔥🔥🔥🔥 hot 🔥", "ﬁne ＡＢ", "t.co/abc end", "[Music] at 12:34 and 1:02:03 [x]", " x\t\n y ", "dưỡng #dưỡng_da 日本。 次"]
+NOISE = ["", "", "", "a b", "a\nb", "x <i> & y", "see now", "... hot 🔥", "fine AB", "end", "[Music] at 12:34 and 1:02:03 [x]", "x y", "dưỡng #dưỡng_da 日本。 次"]
+SAID = NOISE[:9] + ["t.co/abc end", "at and [x]"] + NOISE[11:]
 
 
-def plain_noise(t, transcript=False):
-    t = html.unescape(re.sub(r"<[^>]+>", " ", t or ""))
-    if transcript:
-        t = re.sub(r"\[(?:Music|Applause|Laughter|Cheering|Cheers|Clapping|Crowd|Silence|Inaudible|Foreign|♪[^]]*)\]", "", t, flags=re.I)
-        t = re.sub(r"\b\d{1,2}:\d{2}(?::\d{2})?\b", "", t)
-    t = re.sub(r"https?://\S+|www\.\S+" + ("" if transcript else r"|t\.co/\S+"), "", t, flags=re.I)
-    t = re.sub("[\U0001f300-\U0001f9ff☀-➿\U0001fa00-\U0001fa9f]{3,}", "...", t)
-    return re.sub(r"\s{2,}", " ", unicodedata.normalize("NFKC", t)).strip()
-
-
-def test_cleaners_equal_plain_python(spark):
-    assert col(spark, TEXTS, text.clean_noise) == [plain_noise(t) for t in TEXTS]
-    assert col(spark, TEXTS, text.clean_transcript) == [plain_noise(t, True) for t in TEXTS]
+def test_cleaners(spark):
+    assert col(spark, TEXTS, text.clean_noise) == NOISE
+    assert col(spark, TEXTS, text.clean_transcript) == SAID
 
 
 def test_words_and_tokens(spark):
@@ -48,34 +38,31 @@ def test_uuid5(spark):
     assert col(spark, names, ids.uuid5_dns) == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names]
 
 
-def naive_chunks(t, most, overlap):
-    t = t.strip()
-    if not t:
-        return []
-    if len(t.split()) <= most:
-        return [t]
-    out, cur = [], []
-    for s in [s for s in re.split(r"(?<=[.!?。！？])\s+", t) if s]:
-        if cur and sum(len(x.split()) for x in cur) + len(s.split()) > most:
-            out.append(" ".join(cur))
-            tail = [cur[-1]]
-            for x in reversed(cur[:-1]):
-                if sum(len(y.split()) for y in tail) + len(x.split()) > overlap:
-                    break
-                tail.insert(0, x)
-            cur = tail
-        cur.append(s)
-    return out + ([" ".join(cur)] if cur else [])
-
-
-def test_chunks(spark):
+def test_chunks_literal():
+    assert chunking.pack(None) == chunking.pack("   ") == [] and chunking.pack(" short  text kept ") == ["short  text kept"]
+    assert chunking.pack("a b. c d. e f. g h.", 4, 2) == ["a b. c d.", "c d. e f.", "e f. g h."]
+    assert chunking.pack("a b. c d. e f. g h.", 4, 0) == ["a b. c d.", "c d. e f.", "e f. g h."]  # one sentence overlaps at least
+    assert chunking.pack("a b. c d e f g h. i.", 4, 2) == ["a b.", "a b. c d e f g h.", "c d e f g h. i."]
+    assert chunking.pack("a. b. c. d. e. f.", 4, 3) == ["a. b. c. d.", "b. c. d. e.", "c. d. e. f."]
+
+
+def test_chunks_properties(spark):
+    """Nothing is lost, chunks keep the limit but for what overlaps one long sentence, and each goes on from the one before."""
     rnd = random.Random(3)
-    texts = ["", "   ", "short  text kept"] + [" ".join(" ".join("w" * rnd.randint(1, 5) for _ in range(rnd.randint(1, 14))) + "." for _ in range(rnd.randint(1, 40))) for _ in range(60)]
-    for t in texts:
-        assert chunking.pack(t, 20, 8) == naive_chunks(t, 20, 8)
-    assert chunking.pack(None) == []
-    df = spark.createDataFrame([(1, texts[5], "x"), (2, None, "y")], "id int, text string, chunk_size string")
-    assert [r["chunk"] for r in chunking.chunk(df, "text", 20, 8).orderBy("chunk_no").collect()] == naive_chunks(texts[5], 20, 8)
+    texts = [[" ".join("w" * rnd.randint(1, 5) for _ in range(rnd.randint(1, 14))) + f" s{k}." for k in range(rnd.randint(4, 40))] for _ in range(60)]
+    for parts in texts:
+        whole = " ".join(parts)
+        out = [c.split(". ") for c in chunking.pack(whole, 20, 8)]
+        numbered = [[int(p.rstrip(".").rsplit("s", 1)[1]) for p in c] for c in out]
+        assert sorted({n for c in numbered for n in c}) == list(range(len(parts)))
+        for before, own in zip(numbered, numbered[1:]):
+            assert own == list(range(own[0], own[-1] + 1)) and before[0] < own[-1] and own[0] <= before[-1] < own[-1]
+            kept = [n for n in own if n <= before[-1]]
+            assert len(kept) == 1 or sum(len(parts[n].split()) for n in kept) <= 8
+        assert all(sum(len(parts[n].split()) for n in c[:-1]) <= 20 for c in numbered)
+    df = spark.createDataFrame([(1, " ".join(texts[5]), "x"), (2, None, "y")], "id int, text string, chunk_size string")
+    got = chunking.chunk(df, "text", 20, 8).orderBy("chunk_no").collect()
+    assert [r["chunk"] for r in got] == chunking.pack(" ".join(texts[5]), 20, 8) and {r["chunk_size"] for r in got} == {"x"}
 
 
 def test_post_rules(spark):
@@ -91,8 +78,53 @@ def test_layers_and_funnel(spark):
     got = {r["id"]: r for r in df.collect()}
     assert [got[i]["pass_l2"] for i in range(1, 7)] == [True, False, True, True, False, False]
     assert got[3]["clean_content"].startswith("the title") and got[4]["judge_text"] == words
-    total = {r["plugin_type"]: (r["total"], r["pass_l1"], r["pass_l2"], r["pass_l3"]) for r in filtering.funnel(df.withColumn("verdict", F.col("id") == 1)).collect()}
-    assert total["x_twscrape"] == (2, 1, 1, 1) and total["youtube_long"] == (2, 1, 1, 0) and total["other"] == (1, 0, 0, 0)
+    judged = df.withColumn("verdict", F.col("id") == 1).withColumn("cached", F.col("id") == 1)
+    total = {r["plugin_type"]: tuple(r)[1:] for r in filtering.funnel(judged).collect()}
+    assert total["x_twscrape"] == (2, 1, 1, 1, 0) and total["youtube_long"] == (2, 1, 1, 0, 1) and total["other"] == (1, 0, 0, 0, 0)
+    settings = spark.createDataFrame([("min_words_post", "1"), ("unknown", "3"), ("max_mentions", "x")], "name string, value string")
+    assert filtering.thresholds_of(settings) == {"min_words_post": 1}
+    again = filtering.layers(df.select("id", "plugin_type", "title", "content"), {"min_words_post": 1})
+    assert {r["id"] for r in again.filter("pass_l1").collect()} == {1, 2, 3, 4}
+
+
+def test_batches_are_numbered_in_order(spark):
+    ids = [f"h{i:03}" for i in range(57)]
+    rows = [(h, "p" if i % 3 else "q") for i, h in enumerate(ids)]
+    random.Random(1).shuffle(rows)
+    got = filtering.judge_batches(spark.createDataFrame(rows, "id string, plugin_type string"), "id", 8).collect()
+    for plugin in "pq":
+        own = sorted(h for h, p in rows if p == plugin)
+        assert {(r["id"], r["batch_no"], r["pos"]) for r in got if r["plugin_type"] == plugin} == {(h, i // 8, i % 8) for i, h in enumerate(own)}
+
+
+def test_judge_rounds_split_on_a_wrong_count(spark):
+    """A batch with a wrong number of verdicts is halved until the numbers fit; a single row or a lost answer is dropped."""
+    items = spark.createDataFrame([(i, "p", ["yes", "no", "odd"][i % 3 if i != 8 else 2]) for i in range(9)], "id int, plugin_type string, judge_text string")
+
+    def ask(prompts):
+        lines = F.split("prompt", "\n\n")
+        said = F.array_join(F.transform(lines, lambda x: F.when(x.endswith("yes"), "TRUE").when(x.endswith("odd"), "TRUE,FALSE").otherwise("FALSE")), ",")
+        return prompts.select("plugin_type", "batch_no", said.alias("answer"))
+
+    got = {r["id"]: r["verdict"] for r in filtering.judge_rounds(filtering.judge_batches(items, "id"), ask).collect()}
+    assert got == {i: i % 3 == 0 for i in range(8) if i % 3 != 2}
+
+
+def test_verdict_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    at = lambda d: f"2025-03-0{d} 00:00:00"
+    cache = spark.createDataFrame([("k", True, at(1)), ("k", False, at(2)), ("j", False, at(2)), ("j", True, at(3))], "key string, verdict boolean, written string").withColumn("written", F.col("written").cast("timestamp"))
+    items = spark.createDataFrame([("x",), ("y",), ("z",)], "judge_text string")
+    key = {r["judge_text"]: r["key"] for r in items.select("judge_text", ids.cache_key("m", "1", F.col("judge_text")).alias("key")).collect()}
+    named = cache.withColumn("key", F.when(F.col("key") == "k", key["x"]).otherwise(key["y"]))
+    got = {r["judge_text"]: r["verdict"] for r in filtering.cached_verdicts(items, named, "m", "1").collect()}
+    assert got == {"x": False, "y": True, "z": None}
+    assert filtering.read_verdicts(spark, path).count() == 0
+    judged = spark.createDataFrame([("a", True), ("a", True), ("b", None)], "key string, verdict boolean")
+    filtering.append_verdicts(judged, path)
+    filtering.append_verdicts(judged.union(spark.createDataFrame([("c", False)], judged.schema)), path)
+    assert sorted((r["key"], r["verdict"]) for r in filtering.read_verdicts(spark, path).collect()) == [("a", True), ("c", False)]
+    assert not filtering.write_approved(judged.limit(0), str(tmp_path / "ok")) and filtering.write_approved(judged, str(tmp_path / "ok"))
 
 
 def test_judge_helpers(spark):
@@ -103,35 +135,26 @@ def test_judge_helpers(spark):
     assert len(prompts) == 2 and prompts[0]["prompt"].startswith("1. " + "t" * 500 + "\n\n2. ") and prompts[1]["prompt"] == "1. " + "t" * 500
 
 
-def naive_segments(entries, d):
-    out, cur = [], []
-    if not entries:
-        return out
-    end = entries[0][1] + d
-    first, last = entries[0][1], entries[0][1]
-    for t, s, n in entries:
-        if s >= end:
-            if " ".join(cur).strip():
-                out.append((first, last, " ".join(cur).strip()))
-            while s >= end:
-                end += d
-            cur, first = [], s
-        cur.append((t or "").strip())
-        last = s + n
-    if " ".join(cur).strip():
-        out.append((first, last, " ".join(cur).strip()))
-    return out
-
-
-def test_segments_equal_a_sequential_pass(spark):
+def test_segments_literal(spark):
+    rows = [("v", 0, " a ", 5.0, 2.0), ("v", 1, "b", 100.0, 2.5), ("v", 2, None, 124.0, 1.0), ("v", 3, "c", 125.0, 2.0), ("v", 4, "d", 610.5, 4.0), ("v", 5, " ", 800.0, 1.0), ("v", 1, "b", 100.0, 2.5), ("w", 0, " ", 0.0, None)]
+    df = spark.createDataFrame(rows, "video_id string, pos int, text string, start double, duration double")
+    got = [tuple(r) for r in transcripts.segment(df).orderBy("segment_index").collect()]
+    assert got == [("v", 0, 3, 5.0, 125.0, "a b"), ("v", 1, 3, 125.0, 127.0, "c"), ("v", 2, 3, 610.5, 614.5, "d")]
+
+
+def test_segments_properties(spark):
+    """Every word stays once and in order, and each window holds what starts within it, counted from the first start."""
     rnd = random.Random(1)
-    entries, s = [], 5.0
+    rows, s = [], 7.0
     for i in range(80):
         s = round(s + rnd.choice([0.5, 3.25, 40.0, 260.0 if i % 17 == 0 else 1.0]), 2)
-        entries.append((rnd.choice(["a", " b ", "", None, "c d"]), s, 2.5))
-    df = spark.createDataFrame([("v", i, *e) for i, e in enumerate(entries)] + [("v", 0, *entries[0]), ("w", 0, " ", 0.0, None)], "video_id string, pos int, text string, start double, duration double")
-    got = [(r["start_s"], r["end_s"], r["text"]) for r in transcripts.segment(df).orderBy("segment_index").collect()]
-    assert got == [(a, b, t) for a, b, t in naive_segments(entries, 120)]
+        rows.append(("v", i, f"t{i}", s, 2.5))
+    df = spark.createDataFrame(rows, "video_id string, pos int, text string, start double, duration double")
+    got = transcripts.segment(df).orderBy("segment_index").collect()
+    assert " ".join(r["text"] for r in got) == " ".join(r[2] for r in rows)
+    window = {r[2]: int((r[3] - rows[0][3]) // 120) for r in rows}
+    held = [[window[t] for t in r["text"].split()] for r in got]
+    assert all(len(set(h)) == 1 for h in held) and [h[0] for h in held] == sorted(set(window.values()))
 
 
 def test_json3_and_gates(spark):

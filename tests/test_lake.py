@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import mask_secrets
@@ -31,6 +32,37 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert lake.upsert(spark, points.limit(0), path, ["chunk_no"]) == 0
 
 
+def test_upsert_writes_only_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, chunk_no int, text string, tenant_id string")
+    assert lake.upsert(spark, rows(("1", 0, "a", "t"), ("2", 0, None, "t")), path, ["chunk_no"]) == 2
+    lake.upsert(spark, rows(("1", 0, "a", "t"), ("2", 0, None, "t")), path, ["chunk_no"])
+    assert spark.read.parquet(path).count() == 2
+    lake.upsert(spark, rows(("1", 0, "b", "t"), ("3", 0, "c", "u")), path, ["chunk_no"])
+    want = [("1", "b"), ("2", None), ("3", "c")]
+    shown = lambda: sorted((r["id"], r["text"]) for r in lake.read_collection(spark, path).collect())
+    assert spark.read.parquet(path).count() == 4 and shown() == want
+    lake.compact(spark, path)
+    assert spark.read.parquet(path).count() == 3 and shown() == want
+
+
+def test_collection_knows_its_dimension(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "id int, vector array<float>")
+    assert lake.check_dimension(v.filter("id < 3"), 2).count() == 1
+    with pytest.raises(Exception, match="collection of 2"):
+        lake.check_dimension(v, 2).collect()
+
+
+def test_retention_deletes(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    late = T0 + dt.timedelta(hours=80)
+    lake.land(envelopes(spark, [("1", "a", T0, "x"), ("2", "a", late, "x"), ("3", "b", T0, "x"), ("4", "c", late, "x"), ("5", "a", None, "x")]), path)
+    now = F.lit("2025-03-05 00:00:00").cast("timestamp")
+    assert lake.delete_expired(spark, path, now, 0) == 0 and lake.delete_expired(spark, path, now) == 2
+    assert {r["harvest_id"] for r in spark.read.parquet(path).collect()} == {"2", "4", "5"} and not (tmp_path / "lake" / "tenant_id=b" / "plugin_type=x_twscrape").exists()
+    assert lake.delete_expired(spark, path, now) == 0
+
+
 def test_retention(spark):
     e = envelopes(spark, [("1", "a", T0, "x"), ("2", "a", T0 + dt.timedelta(hours=80), "x"), ("3", "a", None, "x")])
     now = F.lit("2025-03-05 00:00:00").cast("timestamp")
@@ -59,8 +91,9 @@ def test_lake_files(spark, tmp_path):
 
 
 def test_registry_and_fixture_source(spark, tmp_path):
-    (tmp_path / "sources.json").write_text(json.dumps({"sources": [{"name": "a", "type": "x", "tenant_id": "t", "options": {"api_token": "${TOKEN}", "n": 3, "m": "${NONE}"}}, {"type": "broken"}]}))
+    (tmp_path / "sources.json").write_text(json.dumps({"sources": [{"name": "a", "type": "x", "tenant_id": "t", "options": {"api_token": "${TOKEN}", "n": 3, "m": "${NONE}"}}, {"type": "broken"}, {"name": "a", "type": "second"}]}))
     df = readers.load_sources(spark, str(tmp_path / "sources.json"), {"TOKEN": "secret"})
+    assert readers.selected(df, "a", "x").count() == 1 and readers.selected(df, kind="y").count() == 0
     assert df.count() == 1 and df.first()["options"] == {"api_token": "secret", "n": "3", "m": "${NONE}"}
     assert df.select(mask_secrets(F.col("options")).alias("o")).first()["o"]["api_token"] == "***"
     (tmp_path / "one.jsonl").write_text('{"a":1}\n\n{"a":2}\n')
