@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -202,6 +203,12 @@ class Judge:
         return count
 
 
+@lru_cache(maxsize=1)
+def judge_of(texts: tuple[tuple[str, str], ...]) -> Judge:
+    """The judge of these texts; a Python worker builds it once for all its tasks."""
+    return Judge(dict(texts))
+
+
 def _squeeze(codes: np.ndarray) -> np.ndarray:
     return codes[~((codes == 2) & (np.concatenate([[0], codes[:-1]]) == 2))] if len(codes) else codes
 
@@ -321,7 +328,7 @@ def _judged(envelopes: DataFrame, texts: dict[str, str] | None, whole: bool) ->
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = None
         for pdf in batches:
-            judge = judge or Judge(texts)
+            judge = judge or judge_of(tuple(texts.items()))
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 parts = [pieces(t) if t else [] for t in part["text"]]

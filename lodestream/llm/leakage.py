@@ -4,7 +4,10 @@ Both sides are lower-cased and reduced to letters and digits. One scan of the co
 of ``SEED`` characters that also occur in a test item, with their places; their counts over all
 documents say which are rare. Of every ``SHARED - SEED + 1`` consecutive windows of an item the rarest
 becomes a seed, so every shared run of ``SHARED`` characters holds at least one. Seeds join passages to
-items, and Smith-Waterman alignment scores each passage against its item, edited copies included.
+items, and Smith-Waterman alignment scores each passage against its item. A passage that shares ``SHARED``
+consecutive characters is a verbatim copy; one whose score is ``EDITED`` of the item's own or more is an
+edited one, which seeds as short as these find where a word in three or four is replaced; the others share
+little more than a seed.
 
 The test items are the stated query set: their windows are held by every task, in blocks of at most
 ``BLOCK`` windows, one scan of the corpus for each block.
@@ -27,11 +30,12 @@ from pyspark.sql import Window as W
 from lodestream.llm.common import code_points, squash, window_hashes
 from lodestream.session import cut
 
-SEED = 25
+SEED = 14
 SHARED = 50
 BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 PAD = 40
+EDITED = 0.4
 
 
 def _item_windows(seed: int):
@@ -84,10 +88,11 @@ def corpus_hits(documents: DataFrame, windows: DataFrame, seed: int = SEED, bloc
 def seeds(windows: DataFrame, hits: DataFrame, seed: int = SEED, shared: int = SHARED) -> DataFrame:
     """Of each run of ``shared - seed + 1`` windows of an item the one found least in the corpus."""
     counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    weighed = windows.join(counts, "h", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "item_pos"))
+    # a window that an edit took out of the corpus does not hide the others of its run
+    weighed = windows.join(counts, "h", "left").withColumn("rank", F.when(F.col("n").isNotNull(), F.struct("n", "h", "item_pos")))
     run = W.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, shared - seed)
     rarest = weighed.withColumn("best", F.min("rank").over(run))
-    return rarest.filter("best.n > 0").select("item_id", F.col("best.h").alias("h"), F.col("best.item_pos").alias("item_pos")).distinct()
+    return rarest.filter("best IS NOT NULL").select("item_id", F.col("best.h").alias("h"), F.col("best.item_pos").alias("item_pos")).distinct()
 
 
 def _align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,10 +143,11 @@ def _judged(shared: int, pad: int):
 
 
 def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, shared: int = SHARED, pad: int = PAD) -> DataFrame:
-    """``doc_id, item_id, sw_score, sw_share, verbatim`` of every seeded pair.
+    """``doc_id, item_id, sw_score, sw_share, verbatim, kind`` of every seeded pair.
 
     ``sw_share`` is the score over that of the whole item; ``verbatim`` says whether ``shared``
-    consecutive characters are the same. A pair seeded on several diagonals keeps its best score.
+    consecutive characters are the same; ``kind`` is verbatim, edited or slight. A pair seeded on several
+    diagonals keeps its best score.
     """
     items = items.filter(F.col("text").isNotNull()).dropDuplicates(["item_id"])
     windows = cut(item_windows(items, seed))
@@ -156,7 +162,8 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, shared: int
         .select("doc_id", "item_id", "low", "high", "text", "item_text")
     )
     judged = passages.mapInPandas(_judged(shared, pad), "doc_id long, item_id long, sw_score long, sw_share double, verbatim boolean")
-    return judged.groupBy("doc_id", "item_id").agg(F.max("sw_score").alias("sw_score"), F.max("sw_share").alias("sw_share"), F.max("verbatim").alias("verbatim"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max("sw_score").alias("sw_score"), F.max("sw_share").alias("sw_share"), F.max("verbatim").alias("verbatim"))
+    return best.withColumn("kind", F.when(F.col("verbatim"), "verbatim").when(F.col("sw_share") >= EDITED, "edited").otherwise("slight"))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

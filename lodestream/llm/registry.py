@@ -25,6 +25,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.strip_lines(_envelopes(spark, d)).select("harvest_id", "clean_content").distinct()
 
 
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.block_report(_envelopes(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(_records(spark, d))
 

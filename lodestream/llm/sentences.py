@@ -257,7 +257,7 @@ def _continues(line: str, at: int, words: Words) -> bool:
     return follow[0].islower() and not _NAMED.match(follow)
 
 
-@dataclass
+@dataclass(slots=True)
 class Mark:
     """A mark of a line with the quotations it closes (up to ``after``) and the innermost one it stands in."""
 
@@ -334,6 +334,16 @@ def line_ends(line: str, words: Words | None = None) -> list[int]:
     nodes = marks(line)
     if not nodes:
         return [n]
+    # where every mark takes its cheaper reading and every unit holds a letter or digit, the path costs nothing and none is cheaper
+    start, ends = first, []
+    for m in nodes:
+        if _reads_end(line, m, start, first, words):
+            if not _ALNUM.search(line, start, m.after):
+                break
+            ends.append(m.after)
+            start = m.after + len(line[m.after :]) - len(line[m.after :].lstrip())
+    else:
+        return ends if ends and ends[-1] == n else [*ends, n]
     free = [None if m.inside or m.closed else _reads_end(line, m, first, first, words) for m in nodes]
     starts = [first] + [m.after + len(line[m.after :]) - len(line[m.after :].lstrip()) for m in nodes]
     infinite = float("inf")

@@ -113,6 +113,18 @@ def boilerplate(envelopes: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     return found.join(small_side(members), ["sid", "key"]).select("harvest_id", "line_no", "block").distinct()
 
 
+def block_report(envelopes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``source_name, block, n_lines, n_docs``: the boilerplate blocks of each source, with their different lines and the envelopes that hold one."""
+    nodes = small_side(cut(frequent_lines(envelopes, min_docs, min_share)))
+    found = occurrences(envelopes, nodes)
+    members = cut(blocks(found, nodes, min_docs, min_share))
+    names = envelopes.select("source_name", F.xxhash64(F.coalesce(F.col("source_name"), F.lit("\0"))).alias("sid")).distinct()
+    held = found.select("sid", "key", "hid").distinct().join(small_side(members), ["sid", "key"]).select("sid", "block", "hid").distinct()
+    docs = held.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("n_docs"))
+    lines = members.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines.join(docs, ["sid", "block"]).join(small_side(cut(names)), "sid").select("source_name", "block", "n_lines", "n_docs")
+
+
 def strip_lines(envelopes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """Each envelope with ``clean_content``: its content without the lines of blocks, all others unchanged."""
     gone = boilerplate(envelopes, min_docs, min_share).groupBy("harvest_id").agg(F.collect_set("line_no").alias("_gone"))

@@ -127,6 +127,23 @@ def test_leaks(spark):
     assert leakage.found(d.limit(0), e).count() == 0
 
 
+def test_edited_copies(spark):
+    """Copies with a word in four replaced, dropped or doubled are all found as edited; other texts of the same words are not."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(4, 9)))
+    words = [word() for _ in range(400)]
+    items = [[rnd.choice(words) for _ in range(40)] for _ in range(20)]
+
+    def edit(own):
+        return " ".join(x for k, w in enumerate(own) for x in ([w] if (k + 2) % 4 else rnd.choice([[], [word()], [w, word()]])))
+
+    docs = [" ".join(word() for _ in range(30)) + " " + edit(i) + " " + word() for i in items] + [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leakage.leaks(d, e).collect()}
+    assert {p for p, kind in got.items() if kind != "slight"} == {(i, i) for i in range(20)}
+
+
 def test_alignment_equals_the_plain_recurrence():
     import numpy as np
 

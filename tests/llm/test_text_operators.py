@@ -24,6 +24,8 @@ def test_blocks_follow_edges(envelopes):
     got = site_lines.boilerplate(envelopes(rows)).select("line_no", "block").distinct().collect()
     block = {r["line_no"]: r["block"] for r in got}
     assert block[0] == block[1] != block[3]
+    report = sorted((r["source_name"], r["n_lines"], r["n_docs"]) for r in site_lines.block_report(envelopes(rows)).collect())
+    assert report == [("s", 1, 6), ("s", 2, 6)]
 
 
 def test_splitting(spark):
