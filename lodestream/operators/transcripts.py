@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestream.functions.text import strip
+from lodestream.session import cut, small_side
 
 WINDOW_S = 120
 JSON3 = "events ARRAY<STRUCT<tStartMs: BIGINT, dDurationMs: BIGINT, segs: ARRAY<STRUCT<utf8: STRING>>>>"
@@ -58,6 +59,18 @@ def select_videos(videos: DataFrame, gate: Column, order: str, limit: int, by: s
 
     Adds ``place`` and, as the listing stops at the last one taken, ``skipped`` for the rows examined.
     """
-    listed = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    counted = videos.withColumn("_ok", F.coalesce(gate, F.lit(False))).withColumn("place", F.sum(F.col("_ok").cast("int")).over(listed)).withColumn("skipped", F.sum((~F.col("_ok")).cast("int")).over(listed))
-    return counted.filter(F.col("_ok") & (F.col("place") <= limit)).drop("_ok")
+    judged = videos.withColumn("_ok", F.coalesce(gate, F.lit(False)))
+    place = F.row_number().over(W.partitionBy(by).orderBy(order))
+    # each task keeps its first ``limit`` of a source before anything is moved
+    taken = cut(judged.filter("_ok").withColumn("place", place).filter(F.col("place") <= limit).withColumn("place", F.col("place").cast("long")).drop("_ok"))
+    few = small_side(taken.select(F.col(by).alias("_by"), F.col(order).alias("_at")))
+    passed_over = judged.filter(~F.col("_ok")).join(few, F.col(by).eqNullSafe(F.col("_by")) & (F.col(order) < F.col("_at")))
+    skipped = cut(passed_over.groupBy("_by", "_at").agg(F.count(F.lit(1)).alias("skipped")))
+    with_counts = taken.join(small_side(skipped), F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_at")), "left").drop("_by", "_at")
+    return with_counts.withColumn("skipped", F.coalesce("skipped", F.lit(0)).cast("long"))
+
+
+def recheck(picked: DataFrame, details: DataFrame, gate: Column, key: str) -> DataFrame:
+    """The picked videos whose details, which a listing may not have had, pass the gate as well; one without details stays."""
+    known = details.dropDuplicates([key])
+    return picked.join(known.withColumn("_there", F.lit(True)), key, "left").filter(F.col("_there").isNull() | F.coalesce(gate, F.lit(False))).drop("_there")

@@ -165,3 +165,7 @@ def test_json3_and_gates(spark):
     got = transcripts.select_videos(v, transcripts.passes_gates(F.col("d"), F.col("n"), 30, 150, 1), "id", 2)
     assert [(r["id"], r["place"], r["skipped"]) for r in got.orderBy("id").collect()] == [(1, 1, 0), (5, 2, 3)]
     assert col(spark, ["20250101", "", None, "20250401"], lambda c: transcripts.fresh(c, "20250310")) == [False, True, True, True]
+    details = spark.createDataFrame([(1, 999, 5), (5, 100, 50)], "id int, d2 int, n2 int")
+    assert [r["id"] for r in transcripts.recheck(got.select("id"), details, transcripts.passes_gates(F.col("d2"), F.col("n2"), 30, 150, 1), "id").collect()] == [5]
+    none = spark.createDataFrame([(None, 1, 100, 5)], "source_name string, id int, d int, n int")
+    assert [(r["place"], r["skipped"]) for r in transcripts.select_videos(none, F.lit(True), "id", 2).collect()] == [(1, 0)]
