@@ -84,8 +84,9 @@ _EDGE = " \t　“”「」『』\"'（）()*>-–—•"
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}ー]")
 _CASELESS = regex.compile(r"[\p{Devanagari}\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _RUN = regex.compile(r"[\p{Katakana}ー]+|[\p{Latin}\p{N}]+|.", regex.S)
-_BEFORE = re.compile(r"[^\s“„«‹「『(（\[《‘\"¿¡]*$")
+_BEFORE = frozenset("“„«‹「『(（[《‘\"¿¡")
 _NAMED = regex.compile(r"(?:the|a|an|la|le|el|der|die|das)\s+\p{Lu}")
+_BLANKS = re.compile(r"\s*")
 _WORD = re.compile(r"[^\W\d_]+")
 _ALNUM = re.compile(r"[^\W_]")
 
@@ -171,9 +172,17 @@ def _spaceless_end(line: str, mark: str, opened: int, start: int, after: int, wo
     return True
 
 
+def _word_before(line: str, at: int) -> str:
+    """What stands before ``at`` without white space or an opening mark in it."""
+    i = at
+    while i and line[i - 1] not in _BEFORE and not line[i - 1].isspace():
+        i -= 1
+    return line[i:at]
+
+
 def _period_end(line: str, at: int, first: int, after: int, follow: str) -> bool:
     """Whether a single period with a space behind it ends a sentence."""
-    word = _BEFORE.search(line, 0, at)[0]
+    word = _word_before(line, at)
     low = word.lower().lstrip("-–—•*>#")
     opens = follow[0].isupper() or follow[0] in "“„«‹「『¿¡\"([（" or bool(_CASELESS.match(follow))
     head, _, last = low.rpartition(".")
@@ -182,7 +191,7 @@ def _period_end(line: str, at: int, first: int, after: int, follow: str) -> bool
     if not low:
         return opens
     tail = line[max(0, at - 9) : at].lower()
-    for part in PARTS_MAY:
+    for part in PARTS_MAY if tail.endswith(PARTS_MAY) else ():
         if tail.endswith(part) and not tail[: -len(part)][-1:].isalpha():
             return opens
     if low.isdigit():
@@ -190,7 +199,7 @@ def _period_end(line: str, at: int, first: int, after: int, follow: str) -> bool
             return False  # a list mark
         nextword = _WORD.match(follow)
         return not (nextword and nextword[0].lower() in MONTHS)
-    for part in PARTS:
+    for part in PARTS if tail.endswith(PARTS) else ():
         if tail.endswith(part) and not tail[: -len(part)][-1:].isalpha():
             return False
     if low == "г" and line[: at - 1].rstrip()[-1:].isdigit():
@@ -210,11 +219,10 @@ def _period_end(line: str, at: int, first: int, after: int, follow: str) -> bool
 
 def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, int]], start: int, first: int, words: Words) -> bool:
     """The reading of the mark ``line[begin:end]``, its closers up to ``after``; ``start`` is where its unit starts."""
-    rest = line[after:]
-    follow = rest.lstrip()
-    if not follow:
+    at = _BLANKS.match(line, after).end()
+    if at == len(line):
         return True
-    mark, spaced = line[begin:end], rest[0].isspace()
+    mark, spaced, follow = line[begin:end], at > after, line[at : at + 80]
     quotes = [(c, p) for c, p in closed if c not in _BRACKETS]
     capital = follow[0].isupper() or follow[0].isdigit() or follow[0] in "“„«‹「『¿¡\"(（•"
     ellipsis = "…" in mark or (len(mark) > 1 and set(mark) == {"."})
@@ -238,7 +246,7 @@ def _ends(line: str, begin: int, end: int, after: int, closed: list[tuple[str, i
     if ellipsis:
         return spaced and follow[0].isupper() and not line[:begin].endswith((" ", " "))
     if not spaced:
-        word = _BEFORE.search(line, 0, begin)[0]
+        word = _word_before(line, begin)
         if "." in word or "@" in word or "/" in word:
             return False
         if _SPACELESS.match(follow) or follow[0] in "“„«「『":
@@ -341,7 +349,7 @@ def line_ends(line: str, words: Words | None = None) -> list[int]:
             if not _ALNUM.search(line, start, m.after):
                 break
             ends.append(m.after)
-            start = m.after + len(line[m.after :]) - len(line[m.after :].lstrip())
+            start = _BLANKS.match(line, m.after).end()
     else:
         return ends if ends and ends[-1] == n else [*ends, n]
     free = [None if m.inside or m.closed else _reads_end(line, m, first, first, words) for m in nodes]
