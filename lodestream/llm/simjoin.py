@@ -232,8 +232,10 @@ class Plan:
             for s in range(slices):
                 yield (-1 - int(t ^ _HOT_BIT), s, slices), np.unique(owner[own])
 
-    def wanted(self, part: int, tokens: np.ndarray) -> np.ndarray:
-        """Which tokens of its segments a group looks up."""
+    def wanted(self, part: int | None, tokens: np.ndarray) -> np.ndarray:
+        """Which tokens of its segments a group looks up; all of them where a fragment is taken whole (no part)."""
+        if part is None:
+            return np.ones(len(tokens), bool)
         if part < 0:
             return tokens == (np.uint32(-1 - part) | _HOT_BIT)
         light = (tokens & _HOT_BIT) == 0
@@ -329,7 +331,7 @@ def _likely(s: Side, t: Side, x: np.ndarray, y: np.ndarray, room: np.ndarray) ->
     return ok
 
 
-def partial_overlaps(s: Side, t: Side, plan: Plan, threshold: float, extra: float, part: int = 0, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def partial_overlaps(s: Side, t: Side, plan: Plan, threshold: float, extra: float, part: int | None = None, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``x, y, shared`` of the pairs of records of ``s`` and ``t`` whose segments share their part of the bound.
 
     Where both are the same side each pair comes once, ``x`` before ``y``. ``role`` says which records

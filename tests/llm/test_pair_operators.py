@@ -96,6 +96,17 @@ def test_history_batch_by_batch(spark, envelopes, monkeypatch, probe):
     assert history.found(envelopes([])).count() == 0
 
 
+@pytest.mark.parametrize("probe", [50_000, 0])
+def test_history_with_hot_windows_and_parts(spark, envelopes, monkeypatch, probe):
+    monkeypatch.setattr(history, "PROBE_RECORDS", probe)
+    rows, want = history_rows()
+    index = history.HistoryIndex(spark, plan=simjoin.Plan(2, 3, 4))
+    landed = history.arrivals(envelopes(rows))
+    got = [index.land(landed.filter(f"batch_no between {a} and {b}")) for a, b in ((0, 4), (5, 9))]
+    assert {r["harvest_id"] for df in got for r in df.collect()} == want
+    index.drop()
+
+
 def test_a_landing_reads_no_more_than_it_needs(spark, envelopes, tmp_path):
     """What a landing has in the index stays as few parts; merged ones are gone from the folder."""
     rows, _ = history_rows()
