@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream import session
 from lodestream.functions.text import mask_secrets
 from lodestream.operators import lake
 from lodestream.sources import readers
@@ -90,6 +92,13 @@ def test_lake_files(spark, tmp_path):
     assert readers.read_approved(spark, [str(tmp_path / "ok.json"), str(tmp_path / "none.json")]).count() == 2
 
 
+def test_no_local_folder_on_a_cluster():
+    named = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda k, d: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(named(master))
+
+
 def test_registry_and_fixture_source(spark, tmp_path):
     (tmp_path / "sources.json").write_text(json.dumps({"sources": [{"name": "a", "type": "x", "tenant_id": "t", "options": {"api_token": "${TOKEN}", "n": 3, "m": "${NONE}"}}, {"type": "broken"}, {"name": "a", "type": "second"}]}))
     df = readers.load_sources(spark, str(tmp_path / "sources.json"), {"TOKEN": "secret"})
