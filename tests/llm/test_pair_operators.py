@@ -185,3 +185,17 @@ def test_partial_overlaps_equal_brute_force(spark):
                     want[frozenset((a, b))] = len(sa & sb)
         found = simjoin.partial_rows(side, side, simjoin.partial_overlaps(side, side, plan, 0.7, 0.1), f)
         assert {frozenset(((r.ax, r.bx), (r.ay, r.by))): r.shared for r in found.itertuples()} == want and len(want) > 20
+
+
+def test_many_records_send_each_segment_once(spark, envelopes, monkeypatch):
+    """Beyond what a group holds, rounds of few records find the same pairs, and no segment is sent twice."""
+    monkeypatch.setattr(simjoin, "GROUP_RECORDS", 20)
+    monkeypatch.setattr(simjoin, "PROBE_RECORDS", 25)
+    texts, sent = corpus(21), []
+    plain = simjoin.segments
+    monkeypatch.setattr(simjoin, "segments", lambda *a, **k: sent.append(plain(*a, **k)) or sent[-1])
+    rows = [(f"h{i:03}", "s", 0, None, "", t, None) for i, t in enumerate(texts)] + [("copy", "s", 1, None, "", texts[4].upper() + "!!", None)]
+    got = {(r["harvest_id_a"], r["harvest_id_b"]) for r in neardup.pairs(envelopes(rows)).collect()}
+    want = {tuple(sorted(p)) for p in brute({r[0]: r[5] for r in rows})}
+    assert got == want and len(want) > 20
+    assert sent[0].selectExpr("sum(length(sizes)) / 4 n").first()["n"] <= len(set(texts)) * simjoin.FRAGMENTS
