@@ -199,3 +199,18 @@ def test_many_records_send_each_segment_once(spark, envelopes, monkeypatch):
     want = {tuple(sorted(p)) for p in brute({r[0]: r[5] for r in rows})}
     assert got == want and len(want) > 20
     assert sent[0].selectExpr("sum(length(sizes)) / 4 n").first()["n"] <= len(set(texts)) * simjoin.FRAGMENTS
+
+
+def test_a_large_landing_meets_the_history_in_rounds(spark, envelopes, monkeypatch):
+    """More records than travel at once: no group holds a fragment, and windows that occur often are not sent apart."""
+    monkeypatch.setattr(history, "PROBE_RECORDS", 20)
+    monkeypatch.setattr(simjoin, "_UNIT_RECORDS", 10)
+    rounds, plain = [], simjoin._rounds
+    monkeypatch.setattr(simjoin, "_rounds", lambda *a: rounds.append(plain(*a)) or rounds[-1])
+    rows, want = history_rows()
+    index = history.HistoryIndex(spark)
+    landed = history.arrivals(envelopes(rows))
+    got = [index.land(landed.filter(f"batch_no between {a} and {b}")) for a, b in ((0, 4), (5, 9))]
+    assert {r["harvest_id"] for df in got for r in df.collect()} == want
+    assert all(len(r) > 0 for r in rounds) and len(rounds[0]) > 1 and index.postings.read().filter("part <> 0").isEmpty()
+    index.drop()
