@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestream.llm import history, leakage, neardup, simjoin
@@ -214,3 +215,43 @@ def test_a_large_landing_meets_the_history_in_rounds(spark, envelopes, monkeypat
     assert {r["harvest_id"] for df in got for r in df.collect()} == want
     assert all(len(r) > 0 for r in rounds) and len(rounds[0]) > 1 and index.postings.read().filter("part <> 0").isEmpty()
     index.drop()
+
+
+def drawn_side(rnd, records, plan):
+    """Segments of sets of all sizes, drawn from few tokens; half of them near to one of some patterns."""
+    patterns = [sorted(rnd.sample(range(300), 120)) for _ in range(3)]
+    sizes = [rnd.choice([rnd.randint(1, 12), rnd.randint(100, 420)]) for _ in range(records)]
+    held = [max(1, int(simjoin.prefix_size(n)[0]) // plan.fragments + rnd.randint(-2, 3)) for n in sizes]
+    tokens = [sorted(rnd.sample(rnd.choice(patterns)[: c + 10], c) if rnd.random() < 0.5 else rnd.sample(range(300), c)) for c in held]
+    keys = np.array([[rnd.getrandbits(60), rnd.getrandbits(60)] for _ in sizes], np.int64)
+    row = {"keys": keys.tobytes(), "sizes": np.array(sizes, np.int32).tobytes(), "counts": np.array([len(t) for t in tokens], np.uint32).tobytes(), "tokens": np.concatenate(tokens).astype(np.uint32).tobytes()}
+    return simjoin.Side(pd.DataFrame([row]), plan, 0.7, 0.1)
+
+
+@pytest.mark.parametrize("seed, chunk, band", [(1, 80_000, 400_000), (2, 3, 400_000), (3, 80_000, 700), (4, 40, 90)])
+def test_overlaps_of_two_sides_equal_brute_force(monkeypatch, seed, chunk, band):
+    """Partners of any size, smaller, equal and larger, in any cut of the lists and bands, and of a side with itself."""
+    monkeypatch.setattr(simjoin, "_CHUNK", chunk)
+    monkeypatch.setattr(simjoin, "_BAND_TOKENS", band)
+    rnd, plan = random.Random(seed), simjoin.Plan(3)
+    s, t = drawn_side(rnd, 150, plan), drawn_side(rnd, 200, plan)
+    for one, two in ((s, t), (t, s), (s, s)):
+        sets = [[set(o.tokens[a:b].tolist()) for a, b in zip(o.starts[:-1], o.starts[1:])] for o in (one, two)]
+        want = {}
+        for x, a in enumerate(sets[0]):
+            for y, b in enumerate(sets[1]):
+                nx, ny, shared = int(one.sizes[x]), int(two.sizes[y]), len(a & b)
+                if (one is not two or x < y) and min(nx, ny) >= 0.7 * max(nx, ny) - 1e-9 and shared >= max(1, -(-int(simjoin.least_shared(np.array(nx), np.array(ny))) // 3)):
+                    want[x, y] = shared
+        x, y, shared = simjoin.partial_overlaps(one, two, plan, 0.7, 0.1)
+        assert dict(zip(zip(x.tolist(), y.tolist()), shared.tolist())) == want and len(want) == len(x) and len(want) > 50
+
+
+def test_a_text_is_stored_and_keyed_once(spark, envelopes, monkeypatch):
+    """A run lands where the items lie, already keyed: nothing but a merge writes items, and no landing keys its texts again."""
+    rows, want = history_rows()
+    written, keyed, write, key = [], [], history._Log.write, history.keyed
+    monkeypatch.setattr(history._Log, "write", lambda log, df: written.append(log.path) or write(log, df))
+    monkeypatch.setattr(history, "keyed", lambda df: keyed.append(1) or key(df))
+    assert {r["harvest_id"] for r in history.replay(envelopes(rows), 3).collect()} == want
+    assert len(keyed) == 1 and len(written) == 3 and not any(path.endswith("/items") for path in written)
